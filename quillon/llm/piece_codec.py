@@ -81,26 +81,29 @@ def encode_words(words: DataFrame, vocabulary: pieces.Vocabulary) -> DataFrame:
     spark = words.sparkSession
     if pieces.SPACE not in vocabulary.ids:
         raise ValueError("the vocabulary needs the space mark as a piece")
-    table = spark.createDataFrame([(p, i, vocabulary.logp[p]) for p, i in vocabulary.ids.items()], "piece string, id int, logp double")
+    table = spark.createDataFrame([(p, i, vocabulary.logp[p]) for p, i in vocabulary.ids.items()], "piece string, id int, logp double").withColumn("h", F.xxhash64("piece"))
     if len(vocabulary.ids) <= BROADCAST_PIECES:
         table = F.broadcast(table)
-    longest = vocabulary.longest
-    spans = f"""explode(flatten(transform(sequence(1, length(word)), e -> transform(
-        sequence(greatest(1, e - {longest} + 1), e), s -> struct(s - 1 AS s, e AS e, substring(word, s, e - s + 1) AS sub)))))"""
-    cut = words.where(F.length("word") <= MOST_CHARS).select("chunk", "word", F.expr(spans).alias("x")).select("chunk", "word", "x.s", "x.e", "x.sub")
-    joined = cut.join(table, cut.sub == table.piece, "left")
-    inner = (F.col("s") > 0) & F.col("sub").startswith(pieces.SPACE)
-    known = F.col("id").isNotNull() & ~inner
+    # fixed-width arrays of prefixes of each suffix stay in generated code; pieces are met by a hash of 64 bits and then compared
+    tails = words.where(F.length("word") <= MOST_CHARS).select("chunk", "word", F.posexplode(F.expr("sequence(1, length(word))")).alias("s", "at"))
+    tails = tails.select("chunk", "word", "s", F.expr(f"substring(word, at, {vocabulary.longest})").alias("tail"))
+    heads = F.array(*[F.substring("tail", 1, n) for n in range(1, vocabulary.longest + 1)])
+    cut = tails.select("chunk", "word", "s", F.length("tail").alias("n"), F.posexplode(heads).alias("k", "sub")).where("k < n")
+    cut = cut.select("chunk", "word", "s", (F.col("s") + F.col("k") + 1).alias("e"), "sub", F.xxhash64("sub").alias("hash"))
+    joined = cut.join(table, cut.hash == table.h, "left")
+    known = F.col("id").isNotNull() & ~(F.col("piece") < F.col("sub")) & ~(F.col("piece") > F.col("sub"))
+    known = known & ~((F.col("s") > 0) & F.col("sub").startswith(pieces.SPACE))
     joined = joined.where(known | (F.col("e") - F.col("s") == 1)).select(
         "chunk", "word", "e", "s",
         F.when(known, F.col("id")).otherwise(-1).alias("id"),
         F.when(known, F.col("logp")).otherwise(F.octet_length("sub") * F.lit(vocabulary.byte_logp)).alias("logp"),
     )
     edges = joined.groupBy("chunk", "word").agg(F.array_sort(F.collect_list(F.struct("e", "s", "id", "logp"))).alias("edges"))
-    fold = """aggregate(edges, array(struct(0D AS v, 0 AS s, 0 AS id)), (best, x) ->
-        CASE WHEN size(best) = x.e THEN concat(best, array(struct(best[x.s].v + x.logp AS v, x.s AS s, x.id AS id)))
-             WHEN best[x.s].v + x.logp > best[x.e].v THEN concat(slice(best, 1, x.e), array(struct(best[x.s].v + x.logp AS v, x.s AS s, x.id AS id)))
-             ELSE best END)"""
+    # a: best way to each place so far; c: to the place that is being reached
+    fold = """aggregate(edges, struct(array() :: array<struct<v:double,s:int,id:int>> AS a, struct(0D AS v, 0 AS s, 0 AS id) AS c), (acc, x) ->
+        CASE WHEN x.e > size(acc.a) THEN struct(concat(acc.a, array(acc.c)) AS a, struct(IF(x.s = size(acc.a), acc.c.v, acc.a[x.s].v) + x.logp AS v, x.s AS s, x.id AS id) AS c)
+             WHEN acc.a[x.s].v + x.logp > acc.c.v THEN struct(acc.a AS a, struct(acc.a[x.s].v + x.logp AS v, x.s AS s, x.id AS id) AS c)
+             ELSE acc END, acc -> concat(acc.a, array(acc.c)))"""
     back = """aggregate(reverse(sequence(1, size(best) - 1)), struct(size(best) - 1 AS at, array() :: array<int> AS ids), (a, i) ->
         CASE WHEN i = a.at THEN struct(best[i].s AS at, concat(a.ids, array(best[i].id)) AS ids) ELSE a END, a -> reverse(a.ids))"""
     return edges.select("chunk", "word", F.expr(fold).alias("best")).select("chunk", "word", F.expr(back).alias("ids"))
@@ -114,14 +117,15 @@ def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pi
     n = max(1, -(-total // chunk_bytes))
     d = d.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("chunk"), "doc_id", "text").repartition("chunk")
     words = d.select("chunk", F.explode(F.array_distinct(F.split("text", " "))).alias("w")).distinct()
-    words = words.select("chunk", F.concat(F.lit(pieces.SPACE), "w").alias("word"))
+    words = words.select(F.col("chunk").alias("chunk"), F.concat(F.lit(pieces.SPACE), "w").alias("word"))
     encoded = encode_words(words, voc)
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def look_up(texts: pa.Table, table: pa.Table) -> pa.Table:
         return apply_words(texts, table, voc)
 
-    return d.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up, schema)
+    encoded = encoded.withColumnRenamed("chunk", "of_chunk")
+    return d.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(look_up, schema)
 
 
 def apply_words(texts: pa.Table, table: pa.Table, voc: pieces.Vocabulary) -> pa.Table:

@@ -1,11 +1,11 @@
 """Weak-label quality classifier.
 
 Labelling rules look at every document's bytes and vote good, bad or nothing.
-There are few patterns of votes, so counting them over the whole corpus is all
+There are few patterns of votes (at most 3^9), so counting them over the whole corpus is all
 that expectation-maximisation needs: it estimates each rule's chance of each
 vote under either class, and a pattern's posterior. A linear scorer over hashed
-byte trigrams is fitted to the posteriors of a bounded sample, and scores all
-documents.
+byte trigrams, and two shares of repetition that trigrams can't show, is fitted
+to the posteriors of a bounded sample, and scores all documents.
 
 Defined results: a null text, an empty one, and one of white space alone gets
 score null and keep false. Repeated rows score alike. An empty table gives an
@@ -27,7 +27,24 @@ from quillon.llm import _base
 
 DIM = 1 << 16
 CHUNK = 2 << 20
-RULES = ("capitals", "signs", "bars", "shouts", "stops", "word_length", "letters", "repeats")
+RULES = ("capitals", "signs", "bars", "shouts", "stops", "word_length", "letters", "repeats", "echoes")
+DENSE = 2
+#: For bad and for good texts: how a rule is expected to vote bad, good, nothing.
+PRIOR = np.array([[0.15, 0.6, 0.25], [0.001, 0.8, 0.199]])
+
+
+def repetition(texts: pa.Array) -> np.ndarray:
+    """n x 2: share of words that equal the word before them, share of lines that occurred before in the text."""
+    n = len(texts)
+    words = _base.by_space(texts)
+    same = np.zeros(len(words.index), bool)
+    same[1:] = words.index[1:] == words.index[:-1]
+    same[words.starts[:-1]] = False
+    blank = pc.equal(words.unique, "").to_numpy(zero_copy_only=False)
+    same &= ~blank[words.index]
+    lines = _base.Words(pc.split_pattern(texts, "\n"))
+    pairs = np.unique(lines.owner() * max(1, len(lines.unique)) + lines.index) // max(1, len(lines.unique))
+    return np.stack([_base.sums(same, words.starts) / np.maximum(words.counts, 1), 1 - np.bincount(pairs, minlength=n) / np.maximum(lines.counts, 1)], 1)
 
 
 def rule_votes(texts: pa.Array) -> np.ndarray:
@@ -50,10 +67,8 @@ def rule_votes(texts: pa.Array) -> np.ndarray:
     words = np.maximum(count(begin), 1)
     chars = np.maximum(count((raw & 0xC0) != 0x80) - gaps, 1)
     letters = up + low + far
-    lines = _base.Words(pc.split_pattern(texts, "\n"))
-    pairs = np.unique(lines.owner() * max(1, len(lines.unique)) + lines.index) // max(1, len(lines.unique))
-    many = lines.counts
-    repeated = 1 - np.bincount(pairs, minlength=n) / np.maximum(many, 1)
+    echo, repeated = repetition(texts).T
+    many = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False) + 1
 
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, 2))
@@ -68,6 +83,7 @@ def rule_votes(texts: pa.Array) -> np.ndarray:
         vote((chars / words > 14) | ((chars / words < 2) & (words > 8)), (chars / words >= 3) & (chars / words <= 10)),
         vote(letters / chars < 0.75, letters / chars > 0.88),
         vote((repeated > 0.6) & (many >= 5), repeated < 0.3),
+        vote((echo > 0.15) & (words > 8), echo < 0.05),
     ], 1)
 
 
@@ -89,14 +105,19 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of good by pattern, rules x 2 classes x 3 votes, share of good)."""
-    good = (patterns == 1).sum(1) - 2.0 * (patterns == 0).sum(1)
-    post = np.clip(1 / (1 + np.exp(-good)), 0.02, 0.98)
+    """(posterior of good by pattern, rules x 2 classes x 3 votes, share of good).
+
+    Kinds of bad text hardly overlap, so most rules call any one bad text good.
+    It starts from "one bad vote is enough", and a prior as heavy as each class
+    says that rules seldom call a good text bad; without it the rules that fire
+    together would take the whole of a class.
+    """
+    post = np.where((patterns == 0).any(1), 0.05, 0.95)
     table, prior = np.full((patterns.shape[1], 2, 3), 1 / 3), 0.5
     onehot = (patterns[:, :, None] == np.arange(3)).astype(float)
     for _ in range(rounds):
         weight = np.stack([(1 - post) * counts, post * counts])
-        table = np.einsum("cp,prv->rcv", weight, onehot) + 0.5
+        table = np.einsum("cp,prv->rcv", weight, onehot) + PRIOR[None] * (weight.sum(1) + 1)[None, :, None]
         table /= table.sum(2, keepdims=True)
         prior = (weight[1].sum() + 1) / (weight.sum() + 2)
         logit = np.log(prior / (1 - prior)) + np.einsum("prv,rv->p", onehot, np.log(table[:, 1] / table[:, 0]))
@@ -110,12 +131,12 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray  # DIM + 1, the last is the bias
+    weights: np.ndarray  # DIM trigram buckets, DENSE shares of repetition, bias
     rules: dict[str, dict[str, float]]  # each rule's estimated accuracies
     prior: float
 
 
-def fit(hashed: list[np.ndarray], target: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def fit(hashed: list[np.ndarray], dense: np.ndarray, target: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression of soft targets on each text's trigram shares, times 100, by Adagrad."""
     column, row, value = [], [], []
     for i, h in enumerate(hashed):
@@ -124,17 +145,17 @@ def fit(hashed: list[np.ndarray], target: np.ndarray, rounds: int = 150, rate: f
         row.append(np.full(len(u), i))
         value.append(100 * c / max(1, len(h)))
     column, row, value = np.concatenate(column), np.concatenate(row), np.concatenate(value)
-    w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-8)
+    w, g2 = np.zeros(DIM + DENSE + 1), np.full(DIM + DENSE + 1, 1e-8)
     n = len(hashed)
     # both classes weigh the same, so that a rare one isn't given up
     share = np.clip(target.mean(), 0.05, 0.95)
     weight = target / share + (1 - target) / (1 - share)
     weight /= weight.sum()
     for _ in range(rounds):
-        z = np.bincount(row, weights=w[column] * value, minlength=n) + w[-1]
+        z = np.bincount(row, weights=w[column] * value, minlength=n) + 10 * dense @ w[DIM:-1] + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         e = (p - target) * weight
-        g = np.append(np.bincount(column, weights=e[row] * value, minlength=DIM), e.sum())
+        g = np.concatenate([np.bincount(column, weights=e[row] * value, minlength=DIM), 10 * e @ dense, [e.sum()]])
         g[:-1] += decay * w[:-1]
         g2 += g * g
         w -= rate * g / np.sqrt(g2)
@@ -152,7 +173,7 @@ def train(docs: DataFrame, max_rows: int = 2000, id_col: str = "doc_id", text_co
     """Votes over all documents, then a scorer from the ``max_rows`` documents whose hashed id and text are least."""
     d = _base.pick(docs, doc_id=id_col, text=text_col).where("trim(text) != ''")
     votes = _base.materialize(d.select(F.xxhash64(F.lit(23), "doc_id").alias("h"), _pattern("text").alias("pattern")), "votes")
-    # at most 3^8 patterns, whatever the corpus
+    # at most 3^9 patterns, whatever the corpus
     counted = votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     if not counted:
         return None
@@ -164,13 +185,14 @@ def train(docs: DataFrame, max_rows: int = 2000, id_col: str = "doc_id", text_co
     sample = d.where(hashed <= F.lit(last)).orderBy(hashed, F.xxhash64("text")).limit(max_rows)
     texts = sample.select("text").toArrow()["text"].combine_chunks()
     of = dict(zip(codes.tolist(), post.tolist()))
-    rows, target = [], []
+    rows, dense, target = [], [], []
     for part in _base.chunks(texts, CHUNK):
         h, starts = trigrams(part)
         rows += [h[a:b] for a, b in zip(starts, starts[1:])]
+        dense.append(repetition(part))
         target += [of[int(p)] for p in rule_votes(part) @ 3 ** np.arange(len(RULES))]
     accuracy = {name: {"bad": float(table[i, 0, 0]), "good": float(table[i, 1, 1])} for i, name in enumerate(RULES)}
-    return Model(fit(rows, np.array(target)), accuracy, float(prior))
+    return Model(fit(rows, np.concatenate(dense), np.array(target)), accuracy, float(prior))
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
@@ -179,7 +201,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     for part in _base.chunks(texts, CHUNK):
         h, starts = trigrams(part)
         n = np.maximum(np.diff(starts), 1)
-        z = 100 * _base.sums(model.weights[h], starts) / n + model.weights[-1]
+        z = 100 * _base.sums(model.weights[h], starts) / n + 10 * repetition(part) @ model.weights[DIM:-1] + model.weights[-1]
         empty = pc.equal(pc.utf8_trim_whitespace(part), "").to_numpy(zero_copy_only=False)
         out.append(np.where(empty, np.nan, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
     return np.concatenate(out)

@@ -1,19 +1,24 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
-Fingerprint: 256 sign bits over lower-case words, each weighing the square
-root of its count. The first 138 bits are six segments of 23. The binary Golay
-code [23,12,7] is perfect: every segment is within 3 bits of one codeword, and
-within 4 bits of one codeword (leader of weight 0 to 2) or six (weight 3). For
-segments x and y that differ in one bit, the nearest codeword of y is always
-among the codewords within 4 of x; often so for two bits. One side therefore
-emits the nearest codeword alone, the other its whole list.
+Fingerprint: 256 sign bits over a text's distinct lower-case words, each
+weighing the square root of its length, so that the short words that all texts
+of a language share don't make them alike. The first 138 bits are six segments
+of 23. The binary Golay code [23,12,7] is perfect: every segment is within 3
+bits of one codeword, and within 4 bits of one codeword (leader of weight 0 to
+2) or six (weight 3). For segments x and y that differ in one bit, the nearest
+codeword of y is always among the codewords within 4 of x; often so for two
+bits.
 
 Pigeonhole: with up to 9 wrong bits in 138, two of the six segments have at
-most one each, so a pair of segments, a key of 24 bits for each of the 15
-pairs, is sure to meet; beyond 9 bits it is likely (see recall in the README).
-
-Candidates are verified by the Hamming distance of the whole fingerprints and
-joined into groups. Documents with the same bag of words are one node from the
+most one each. For each of the 15 pairs of segments a key of 24 bits is made
+in two roles: codeword list of the first segment with the nearest codeword of
+the second, and the other way round. One role is joined to the other, so such
+a pair is sure to meet; beyond 9 bits it is likely (see recall in the README).
+
+A key carries the last 64 bits of the fingerprint, which no segment uses: a
+candidate that differs there in more than ``CHECK_DISTANCE`` bits ends in the
+join. The others are verified by the Hamming distance of the whole
+fingerprints and joined into groups. Documents with the same bag of words are one node from the
 start. Stars come before pairs: first every node is held against the least
 node of its bucket, and pairs are formed only across the groups so found, so a
 group of thousands of near copies costs its size and not its square. No pair
@@ -40,7 +45,8 @@ from pyspark.sql import types as T
 from quillon.llm import _base
 
 SEGMENTS, BITS, WIDTH = 6, 256, 23
-MAX_DISTANCE = 36
+MAX_DISTANCE = 40
+CHECK_DISTANCE = 20
 GENERATOR = 0xAE3
 PAIRS = tuple(itertools.combinations(range(SEGMENTS), 2))
 CHUNK = 1 << 20
@@ -94,7 +100,8 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         signs = np.unpackbits(lanes.view(np.uint8).reshape(distinct, 32), axis=1, bitorder="little").astype(np.float32) * 2 - 1
         total = np.zeros((n, BITS), np.float32)
         starts = np.searchsorted(owner, np.arange(n + 1))
-        weight = np.sqrt(tf).astype(np.float32)
+        size = pc.utf8_length(words.unique).to_numpy(zero_copy_only=False)
+        weight = np.sqrt(np.minimum(size, 8)).astype(np.float32)[index]
         for i in range(n):
             a, b = starts[i], starts[i + 1]
             if b > a:
@@ -127,14 +134,16 @@ def nearest_keys(prints: np.ndarray) -> np.ndarray:
     return np.stack([k << 24 | index[:, i] << 12 | index[:, j] for k, (i, j) in enumerate(PAIRS)], 1)
 
 
-def list_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the codeword lists, one document after another, and how many each has."""
+def list_keys(prints: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one role, one document after another, and how many each has: the codeword list of the
+    first (or else the second) segment of each pair with the nearest codeword of the other."""
     index, count = near_codewords(segments(prints))
     held = np.arange(6) < count[:, :, None]
     keys, ok = [], []
     for k, (i, j) in enumerate(PAIRS):
-        keys.append((k << 24 | index[:, i, :, None] << 12 | index[:, j, None, :]).reshape(-1, 36))
-        ok.append((held[:, i, :, None] & held[:, j, None, :]).reshape(-1, 36))
+        one, other = (index[:, i], index[:, j, :1]) if first else (index[:, i, :1], index[:, j])
+        keys.append(k << 24 | one << 12 | other)
+        ok.append(held[:, i if first else j])
     keys, ok = np.concatenate(keys, 1), np.concatenate(ok, 1)
     return keys[ok], ok.sum(1)
 
@@ -164,16 +173,19 @@ def _nearest(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * len(PAIRS)), pa.array(keys.ravel()))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _listed(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-    prints = _prints((a, b, c, d))
-    keys, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for i in range(0, len(prints), 512):
-        k, n = list_keys(prints[i : i + 512])
-        keys.append(k.astype(np.int32))
-        counts.append(n)
-    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(keys)))
+def _listed(first: bool, *lanes: Column) -> Column:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        prints = _prints((a, b, c, d))
+        keys, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(prints), 4096):
+            k, n = list_keys(prints[i : i + 4096], first)
+            keys.append(k.astype(np.int32))
+            counts.append(n)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(keys)))
+
+    return run(*lanes)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -231,9 +243,9 @@ def _grouped(d: DataFrame, max_distance: int) -> DataFrame:
     tree = components(stars)
     seen = nodes.join(tree, nodes.gid == tree.node, "left").select("gid", *lanes, F.coalesce("root", "gid").alias("root"))
     seen = _base.materialize(seen, "seen")
-    listed = seen.select(F.col("gid").alias("x"), F.col("root").alias("rx"), F.explode(_listed(*lanes)).alias("key"))
-    single = seen.select(F.col("gid").alias("y"), F.col("root").alias("ry"), F.explode(_nearest(*lanes)).alias("key"))
-    pairs = listed.join(single, "key").where("rx != ry").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    role = lambda first, n: seen.select(F.col("gid").alias(n), F.col("root").alias(f"r{n}"), F.col("d").alias(f"d{n}"), F.explode(_listed(first, *lanes)).alias("key"))
+    close = (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= CHECK_DISTANCE)
+    pairs = role(True, "x").join(role(False, "y"), "key").where(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tree = components(stars.union(_verified(pairs, nodes, max_distance)))
     rooted = nodes.join(tree, nodes.gid == tree.node, "left").select("bag1", "bag2", "n", F.coalesce("root", "gid").alias("group_id"))
     return usable.join(rooted, ["bag1", "bag2", "n"]).select("doc_id", "h", "group_id").unionByName(rest)

@@ -51,9 +51,10 @@ class Compiler:
         keys = [k for k in self.leaf_of if k[0] == "term"]
         df = index.dictionary([k[1:] for k in keys]) if self.scorer and keys else {}
         match, number, score = F.lit(False), None, None
+        for field_id in sorted({f for _, f, _ in keys}):
+            match = match | ((F.col("field_id") == field_id) & F.col("term").isin([t for _, f, t in keys if f == field_id]))
         for _, f, t in keys:
             here = (F.col("field_id") == f) & (F.col("term") == t)
-            match = here if number is None else match | here
             n = F.lit(self.leaf_of["term", f, t])
             s = self.scorer.column(F.col("tf"), F.col("dl"), index.avgdl(f), index.document_count, df.get((f, t), 0)) if self.scorer else F.lit(0.0)
             number = F.when(here, n) if number is None else number.when(here, n)
@@ -74,7 +75,7 @@ class Compiler:
         Positions aren't stored: documents that hold all the words are found
         from the postings, and only their texts are read again.
         """
-        texts = getattr(self.index, "texts", {}).get(field_id)
+        texts = self.index.texts.get(field_id)
         if texts is None:
             raise UnsupportedFilterPredicate("phrases need Index.texts")
         index, distinct = self.index, tuple(dict.fromkeys(words))

@@ -62,6 +62,8 @@ class Index:
     block_size: int = BLOCK_SIZE
     stored_terms: DataFrame | None = None
     known: dict | None = None
+    #: (doc_id, text) by field, which phrases read again; a stored index doesn't hold them.
+    texts: dict[int, DataFrame] = field(default_factory=dict)
 
     # -- statistics, small enough for the driver: one row a field --
 
@@ -161,7 +163,9 @@ class Index:
             "aliases": self.aliases, "block_size": self.block_size, "analyzers": specs,
         }
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-        return Index.open(self.spark, path, self.analyzers)
+        opened = Index.open(self.spark, path, self.analyzers)
+        opened.texts = self.texts
+        return opened
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, analyzers: FieldAnalyzers | None = None) -> Index:
@@ -206,7 +210,7 @@ class IndexBuilder:
             again = docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()
             if again:
                 raise DuplicateDocument(again[0]["doc_id"])
-        parts = []
+        parts, texts = [], {}
         for f, name in sorted(fields.items()):
             text, spec = df[name], self.analyzers.get(f)
             if isinstance(df.schema[name].dataType, T.ArrayType):
@@ -214,6 +218,7 @@ class IndexBuilder:
                 one = each.where("t is not null").select("doc_id", terms(F.col("t"), spec).alias("toks"))
                 one = one.groupBy("doc_id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
             else:
+                texts[f] = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), text.alias("text"))
                 one = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), terms(text, spec).alias("toks"))
             parts.append(one.select("doc_id", F.lit(f).alias("field_id"), "toks", F.size("toks").alias("dl")))
         empty = df.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("field_id", T.IntegerType()), T.StructField("toks", T.ArrayType(T.StringType())), T.StructField("dl", T.IntegerType())]))
@@ -224,4 +229,4 @@ class IndexBuilder:
         counted = rows.select("field_id", "doc_id", "dl", F.explode("toks").alias("term")).groupBy("field_id", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("n"))
         fits = F.when(F.col("n") <= INT_MAX, F.col("n").cast("int")).otherwise(F.raise_error(F.lit(f"{ValueOutOfRange.__name__}: term frequency")))
         postings = counted.select("field_id", "term", "doc_id", fits.cast("int").alias("tf"), "dl")
-        return Index(df.sparkSession, docs, lengths, postings, self.analyzers, dict(self.aliases), self.block_size)
+        return Index(df.sparkSession, docs, lengths, postings, self.analyzers, dict(self.aliases), self.block_size, texts=texts)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[plain[f"c{names.index(old)}__"].alias(new) for new, old in columns.items()])
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with columns named by position, and what each is called there; for results that keep all columns."""
+    names = df.columns
+    return df.toDF(*[f"c{i}__" for i in range(len(names))]), lambda name: f"c{names.index(name)}__"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)

@@ -96,7 +96,9 @@ def halves(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFram
     if ids["lo"] is None:
         return docs.where(F.lit(False)), docs
     middle = (int(ids["lo"]) + int(ids["hi"])) // 2
-    return docs.where(docs[id_col] <= middle), docs.where((docs[id_col] > middle) | docs[id_col].isNull())
+    d, name = _base.plain(docs)
+    i = d[name(id_col)]
+    return d.where(i <= middle).toDF(*docs.columns), d.where((i > middle) | i.isNull()).toDF(*docs.columns)
 
 
 def all_duplicates(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +116,12 @@ def keep_one(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col
     """The rows of ``docs`` that are no duplicates; one of each set of equal rows. Null ids and null texts stay."""
     found = _base.materialize(_all_duplicates(docs, shards, id_col, text_col), "duplicates")
     dropped = found.select(F.col("doc_id").alias("dropped__id"), F.col("h1").alias("dropped__h")).distinct()
-    kept = docs.join(dropped, (docs[id_col] == dropped["dropped__id"]) & (F.xxhash64(docs[text_col]) == dropped["dropped__h"]), "left_anti")
+    d, name = _base.plain(docs)
+    i, t = name(id_col), name(text_col)
+    kept = d.join(dropped, (d[i] == dropped["dropped__id"]) & (F.xxhash64(d[t]) == dropped["dropped__h"]), "left_anti")
     again = digests(docs, id_col, text_col).groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("again__id")).distinct()
-    once = kept.join(again, kept[id_col] == again["again__id"], "left_anti")
-    more = kept.join(again, kept[id_col] == again["again__id"], "left_semi")
-    return once.union(more.dropDuplicates([id_col, text_col]))
+    once = kept.join(again, kept[i] == again["again__id"], "left_anti")
+    more = kept.join(again, kept[i] == again["again__id"], "left_semi")
+    # a repeated row goes, but rows of null texts stay
+    more = more.where(F.col(t).isNotNull()).dropDuplicates([i, t]).union(more.where(F.col(t).isNull()))
+    return once.union(more).toDF(*docs.columns)

@@ -241,4 +241,5 @@ def keep_identified(docs: DataFrame, model: Model | None = None, penalty: float
     def kept(texts: pa.Array) -> pa.Array:
         return label(texts, model, penalty, least_share).field("keep")
 
-    return docs.where(kept(docs[text_col]))
+    d, name = _base.plain(docs)
+    return d.where(kept(d[name(text_col)])).toDF(*docs.columns)

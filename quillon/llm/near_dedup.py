@@ -258,4 +258,5 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: str = "d
     """
     found = _grouped(_base.pick(docs, doc_id=id_col, text=text_col), max_distance).where("group_id != doc_id")
     dropped = found.select(F.col("doc_id").alias("dropped__id"), F.col("h").alias("dropped__h")).distinct()
-    return docs.join(dropped, (docs[id_col] == dropped["dropped__id"]) & (F.xxhash64(docs[text_col]) == dropped["dropped__h"]), "left_anti")
+    d, name = _base.plain(docs)
+    return d.join(dropped, (d[name(id_col)] == dropped["dropped__id"]) & (F.xxhash64(d[name(text_col)]) == dropped["dropped__h"]), "left_anti").toDF(*docs.columns)

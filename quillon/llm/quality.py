@@ -227,4 +227,5 @@ def classify(docs: DataFrame, model: Model | None = None, threshold: float = 0.5
 
 def keep_good(docs: DataFrame, model: Model | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     model = model or train(docs, id_col=id_col, text_col=text_col)
-    return docs.where(scored(docs[text_col], model) >= threshold)
+    d, name = _base.plain(docs)
+    return d.where(scored(d[name(text_col)], model) >= threshold).toDF(*docs.columns)

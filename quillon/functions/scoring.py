@@ -117,7 +117,9 @@ class Bm25Scorer:
     def score(self, stats: ScoringStats) -> float | None:
         return self.value(stats) or None
 
-    def column(self, tf: Column, dl: Column, avgdl: float, doc_count: int, df: int) -> Column:
+    def column(self, tf: Column, dl: Column, avgdl: float | Column, doc_count: int, df: int | Column) -> Column:
+        if isinstance(df, Column):
+            return bm25_column(tf, dl, avgdl, F.lit(doc_count), df, self.params)
         if doc_count == 0 or df == 0 or df > doc_count or not math.isfinite(avgdl) or avgdl <= 0:
             return F.lit(0.0)
         p = self.params

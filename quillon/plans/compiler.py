@@ -50,17 +50,17 @@ class Compiler:
         index = self.index
         keys = [k for k in self.leaf_of if k[0] == "term"]
         df = index.dictionary([k[1:] for k in keys]) if self.scorer and keys else {}
-        match, number, score = F.lit(False), None, None
-        for field_id in sorted({f for _, f, _ in keys}):
-            match = match | ((F.col("field_id") == field_id) & F.col("term").isin([t for _, f, t in keys if f == field_id]))
-        for _, f, t in keys:
+        number, score = None, None
+        for _, f, t in keys if len(keys) <= WIDE else ():
             here = (F.col("field_id") == f) & (F.col("term") == t)
             n = F.lit(self.leaf_of["term", f, t])
             s = self.scorer.column(F.col("tf"), F.col("dl"), index.avgdl(f), index.document_count, df.get((f, t), 0)) if self.scorer else F.lit(0.0)
             number = F.when(here, n) if number is None else number.when(here, n)
             score = F.when(here, s) if score is None else score.when(here, s)
-        found = index.postings.where(match)
-        if number is None:
+        found = index.postings.where(self._match(keys))
+        if len(keys) > WIDE:
+            out = self._many(keys, df)
+        elif number is None:
             out = found.select("doc_id", F.lit(0).alias("leaf"), F.lit(0.0).alias("s"))
         else:
             out = found.select("doc_id", number.alias("leaf"), score.cast(self.type).alias("s"))
@@ -69,6 +69,23 @@ class Compiler:
                 out = out.unionByName(self._phrase(*key[1:]).select("doc_id", F.lit(n).alias("leaf"), F.col("s").cast(self.type).alias("s")))
         return out
 
+    def _many(self, keys: list[tuple], df: dict) -> DataFrame:
+        """The same for many terms: joined to a table of them, which is broadcast, as plans have a bounded number of nodes."""
+        index = self.index
+        rows = [(f, t, self.leaf_of["term", f, t], df.get((f, t), 0), float(index.avgdl(f))) for _, f, t in keys]
+        table = index.spark.createDataFrame(rows, "of_field int, of_term string, leaf int, df long, avgdl double")
+        found = index.postings.where(self._match(keys))
+        joined = found.join(F.broadcast(table), (F.col("field_id") == F.col("of_field")) & (F.col("term") == F.col("of_term")))
+        s = self.scorer.column(F.col("tf"), F.col("dl"), F.col("avgdl"), index.document_count, F.col("df")) if self.scorer else F.lit(0.0)
+        return joined.select("doc_id", "leaf", s.cast(self.type).alias("s"))
+
+    @staticmethod
+    def _match(keys: list[tuple]) -> Column:
+        match = F.lit(False)
+        for field_id in sorted({f for _, f, _ in keys}):
+            match = match | ((F.col("field_id") == field_id) & F.col("term").isin([t for _, f, t in keys if f == field_id]))
+        return match
+
     def _phrase(self, field_id: int, words: tuple[str, ...], slop: int) -> DataFrame:
         """Documents where each word follows the one before with at most ``slop`` other tokens in all; the score is the words' sum.
 
@@ -88,10 +105,15 @@ class Compiler:
         both = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s")).where(F.col("n") == len(distinct))
         toks = texts.select(F.col("doc_id"), analyze(F.col("text"), index.analyzers.get(field_id)).alias("toks")).join(both, "doc_id")
         # places at which the words so far can end, with where they began
-        at = F.transform(F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get("toks", i) == words[0]), lambda i: F.struct(i.alias("b"), i.alias("e")))
+        places = lambda w: F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get("toks", i) == w)
+
+        def longer(at: Column, n: int, after: Column) -> Column:
+            near = lambda p: F.filter(after, lambda i: (i > p["e"]) & (i - p["b"] - n <= slop))
+            return F.flatten(F.transform(at, lambda p: F.transform(near(p), lambda i: F.struct(p["b"].alias("b"), i.alias("e")))))
+
+        at = F.transform(places(words[0]), lambda i: F.struct(i.alias("b"), i.alias("e")))
         for n, w in enumerate(words[1:], 1):
-            after = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i, w=w: F.get("toks", i) == w)
-            at = F.flatten(F.transform(at, lambda p, after=after, n=n: F.transform(F.filter(after, lambda i: (i > p["e"]) & (i - p["b"] - n <= slop)), lambda i: F.struct(p["b"].alias("b"), i.alias("e")))))
+            at = longer(at, n, places(w))
         return toks.where((F.size("toks") > 0) & (F.size(at) > 0)).select("doc_id", "s")
 
     # -- expressions over one document --
@@ -164,6 +186,15 @@ class Compiler:
         memo[at] = out
         return out
 
+    def _flat_or(self, root) -> bool:
+        """Whether a node is an Or of unboosted terms, each once and in the order of the leaves."""
+        if not isinstance(root, Or):
+            return False
+        below = [self.program.nodes[c] for c in root.children]
+        if not all(isinstance(b, Term) and abs(b.boost - 1) <= FLOAT_EPSILON for b in below):
+            return False
+        return [self.leaf_of["term", b.field_id, b.term] for b in below] == list(range(len(self.leaf_of)))
+
     # -- plans --
 
     def compile(self) -> Compiled:
@@ -179,6 +210,12 @@ class Compiler:
             return Compiled(hits, leaves)
         n = len(self.leaf_of)
         grouped = leaves.groupBy("doc_id")
+        if n > WIDE and not filters and self._flat_or(root):
+            # any leaf is a match, and scores are summed in the order of the leaves: no column or lookup for each
+            adds = F.transform(F.array_sort(F.collect_list(F.struct("leaf", "s"))), lambda x: x["s"])
+            s = F.aggregate(adds, F.lit(0.0).cast(self.type), lambda a, x: saturate(a + x).cast(self.type))
+            s = saturate(s * F.lit(root.boost).cast(self.type)) if abs(root.boost - 1) > FLOAT_EPSILON else s
+            return Compiled(grouped.agg(s.alias("score")) if self.scorer else leaves.select("doc_id").distinct(), leaves)
         if n <= WIDE:
             cells = [F.max(F.when(F.col("leaf") == i, F.col("s"))).alias(f"s__{i}") for i in range(n)]
             pivot = grouped.agg(*(cells or [F.count(F.lit(1)).alias("none__")]))

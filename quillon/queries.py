@@ -156,10 +156,10 @@ def posting_blocks(spark, sf_dir):
     return index_of(spark, sf_dir, "part").blocks
 
 
-@query(f"{DOCS} SELECT t.term, t.target, min(p.doc_id) AS doc_id FROM (VALUES ('the', 100), ('and', 7), ('the', 99999999999)) t(term, target) LEFT JOIN p ON p.term = t.term AND p.doc_id >= t.target GROUP BY t.term, t.target")
+@query(f"{DOCS} SELECT t.term, t.target, coalesce(min(p.doc_id), -1) AS doc_id FROM (VALUES ('the', 100), ('and', 7), ('the', 99999999999)) t(term, target) LEFT JOIN p ON p.term = t.term AND p.doc_id >= t.target GROUP BY t.term, t.target")
 def postings_seek(spark, sf_dir):
     targets = spark.createDataFrame([("the", 100), ("and", 7), ("the", 99999999999)], "term string, target long")
-    return postings.seek_first(index_of(spark, sf_dir).postings, targets)
+    return postings.seek_first(index_of(spark, sf_dir).postings, targets).na.fill(-1, ["doc_id"])
 
 
 @query(f"{DOCS} SELECT term, doc_id, tf FROM p")

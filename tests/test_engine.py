@@ -78,6 +78,8 @@ def test_ties_counts_and_pruning(spark):
     with pytest.raises(errors.MissingScorer):
         e.execute(e.plan("alpha"), TopK(1))
     assert e.execute(e.plan("alpha"), TopK(0), Bm25Scorer()) == []
+    assert e.execute(e.plan("missing"), TopK(2), Bm25Scorer()) == [] and e.last_stats.collected_hits == 0
+    assert e.execute(e.plan("missing OR NOT alpha"), Count()) == 0
 
 
 def test_random_boolean(spark):

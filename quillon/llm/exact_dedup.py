@@ -4,7 +4,8 @@ A snapshot is immutable: the digests of its documents, split into shards by
 digest, get one filter a shard, about nine bits a document, stored as a table.
 An incoming batch sends digests, not texts, to the shards; those that a filter
 lets through join the snapshot's documents with the same digest, and texts are
-compared byte for byte. The batch's own duplicates are grouped apart, and
+compared byte for byte. To compare them the texts are shuffled by id, at every size:
+what is suspect grows with the corpus, so it isn't broadcast. The batch's own duplicates are grouped apart, and
 again only texts whose digest occurs twice are compared.
 
 Defined results: equal texts, the empty one included, are duplicates; a null
@@ -58,9 +59,9 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 def _equal_texts(texts: DataFrame, suspects: DataFrame) -> DataFrame:
     """(doc_id, keeper) among suspects (doc_id, part): the least (part, doc_id) with the same bytes."""
-    t = texts.join(suspects.select(F.col("doc_id").alias("sid"), "part", "h1", "h2").distinct(), (F.col("doc_id") == F.col("sid")) & (F.col("of") == F.col("part"))).where("xxhash64(text) = h1").select("doc_id", "part", "text", "h1", "h2")
+    t = texts.join(suspects.select(F.col("doc_id").alias("sid"), "part", "h1", "h2").distinct().hint("merge"), (F.col("doc_id") == F.col("sid")) & (F.col("of") == F.col("part"))).where("xxhash64(text) = h1").select("doc_id", "part", "text", "h1", "h2")
     least = t.groupBy("h1", "h2", "text").agg(F.min(F.struct("part", "doc_id")).alias("k"))
-    named = t.select("doc_id", "part", "text", "h1", "h2").join(least.withColumnRenamed("text", "ktext"), ["h1", "h2"]).where("text = ktext")
+    named = t.select("doc_id", "part", "text", "h1", "h2").join(least.withColumnRenamed("text", "ktext").hint("merge"), ["h1", "h2"]).where("text = ktext")
     return named.select("doc_id", "part", "h1", F.col("k.doc_id").alias("keeper"), F.col("k.part").alias("keeper_part")).distinct()
 
 

@@ -60,6 +60,7 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 def _equal_texts(texts: DataFrame, suspects: DataFrame) -> DataFrame:
     """(doc_id, keeper) among suspects (doc_id, part): the least (part, doc_id) with the same bytes."""
     t = texts.join(suspects.select(F.col("doc_id").alias("sid"), "part", "h1", "h2").distinct().hint("merge"), (F.col("doc_id") == F.col("sid")) & (F.col("of") == F.col("part"))).where("xxhash64(text) = h1").select("doc_id", "part", "text", "h1", "h2")
+    t = _base.materialize(t, "suspect_texts")
     least = t.groupBy("h1", "h2", "text").agg(F.min(F.struct("part", "doc_id")).alias("k"))
     named = t.select("doc_id", "part", "text", "h1", "h2").join(least.withColumnRenamed("text", "ktext").hint("merge"), ["h1", "h2"]).where("text = ktext")
     return named.select("doc_id", "part", "h1", F.col("k.doc_id").alias("keeper"), F.col("k.part").alias("keeper_part")).distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,31 @@ class Compiled:
     leaves: DataFrame
 
 
+def _holds(words: tuple[str, ...], slop: int):
+    """Whether tokens hold a phrase: from each first word on, every next word is taken as early as it comes."""
+
+    @F.arrow_udf("boolean")
+    def run(toks: pa.Array) -> pa.Array:
+        out = []
+        for row in toks.to_pylist():
+            places = [[i for i, t in enumerate(row or ()) if t == w] for w in words]
+            found = False
+            for begin in places[0]:
+                end = begin
+                for at in places[1:]:
+                    k = bisect.bisect_right(at, end)
+                    end = at[k] if k < len(at) else None
+                    if end is None:
+                        break
+                if end is not None and end - begin - (len(words) - 1) <= slop:
+                    found = True
+                    break
+            out.append(found)
+        return pa.array(out, pa.bool_())
+
+    return run
+
+
 class Compiler:
     def __init__(self, index: Index, plan: ExecutionPlan, scorer: Scorer | None, slots: Slots = NO_FILTER, strict: bool = False, precision: str = "double"):
         self.index, self.program, self.scorer, self.slots, self.strict = index, plan.program, scorer, slots, strict
@@ -104,17 +131,7 @@ class Compiler:
         found = index.postings.where((F.col("field_id") == field_id) & F.col("term").isin(list(distinct)))
         both = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s")).where(F.col("n") == len(distinct))
         toks = texts.select(F.col("doc_id"), analyze(F.col("text"), index.analyzers.get(field_id)).alias("toks")).join(both, "doc_id")
-        # places at which the words so far can end, with where they began
-        places = lambda w: F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get("toks", i) == w)
-
-        def longer(at: Column, n: int, after: Column) -> Column:
-            near = lambda p: F.filter(after, lambda i: (i > p["e"]) & (i - p["b"] - n <= slop))
-            return F.flatten(F.transform(at, lambda p: F.transform(near(p), lambda i: F.struct(p["b"].alias("b"), i.alias("e")))))
-
-        at = F.transform(places(words[0]), lambda i: F.struct(i.alias("b"), i.alias("e")))
-        for n, w in enumerate(words[1:], 1):
-            at = longer(at, n, places(w))
-        return toks.where((F.size("toks") > 0) & (F.size(at) > 0)).select("doc_id", "s")
+        return toks.where(_holds(words, slop)(F.col("toks"))).select("doc_id", "s")
 
     # -- expressions over one document --
 

@@ -4,13 +4,15 @@ Two public vocabularies encode every text: characters per token of a byte-level
 BPE, share of byte-fallback ids and entropy of the ids of a piece vocabulary.
 Bands are learnt for each language (or, without one, each script) over all
 documents: quartiles of binned values, widened by a multiple of their distance.
-A document outside any band of its group is rejected.
+A document outside any band of its group is rejected. The measures of a short
+text depend on its length, so texts of fewer than ``least_tokens`` tokens have
+bands of their own for each doubling of the length.
 
 Defined results: a null or empty text has null measures and is not judged: keep
 is null, reason "empty". Repeated rows are judged alike. A null or blank
-language is replaced by the text's main script. A group with fewer than
-``least_group`` documents, and a text with fewer than ``least_tokens`` tokens,
-is kept: there is too little to judge by.
+language is replaced by the text's main script. Where a group has fewer than
+``least_group`` documents of a length class, they are kept: there is too little
+to judge by.
 """
 
 from __future__ import annotations
@@ -75,29 +77,29 @@ def script(text: Column | str) -> Column:
 
 
 def bands(measured: DataFrame, width: float) -> DataFrame:
-    """(grp, docs, and low and high of each measure) by exact quartiles of the binned values."""
+    """(grp, size, docs, and low and high of each measure) by exact quartiles of the binned values."""
     result = None
     for name, bins in MEASURES.items():
-        by = Window.partitionBy("grp").orderBy("bin")
-        counts = measured.groupBy("grp", F.floor(F.col(name) * bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-        counts = counts.withColumn("upto", F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy("grp")))
+        by = Window.partitionBy("grp", "size").orderBy("bin")
+        counts = measured.groupBy("grp", "size", F.floor(F.col(name) * bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+        counts = counts.withColumn("upto", F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy("grp", "size")))
         q = lambda share: F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bin"))) / bins
-        one = counts.groupBy("grp").agg(F.max("all").alias("docs"), q(0.25).alias("q1"), (q(0.75) + 1 / bins).alias("q3"))
+        one = counts.groupBy("grp", "size").agg(F.max("all").alias("docs"), q(0.25).alias("q1"), (q(0.75) + 1 / bins).alias("q3"))
         reach = width * (F.col("q3") - F.col("q1"))
-        one = one.select(F.col("grp"), *([F.col("docs")] if result is None else []), (F.col("q1") - reach).alias(f"{name}_low"), (F.col("q3") + reach).alias(f"{name}_high"))
-        result = one if result is None else result.join(one.withColumnRenamed("grp", "g"), F.col("grp").eqNullSafe(F.col("g"))).drop("g")
+        one = one.select("grp", "size", *([F.col("docs")] if result is None else []), (F.col("q1") - reach).alias(f"{name}_low"), (F.col("q3") + reach).alias(f"{name}_high"))
+        result = one if result is None else result.join(one, ["grp", "size"])
     return result
 
 
-def judge(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, width: float = 6.0, least_tokens: int = 64, least_group: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, width: float = 3.0, least_tokens: int = 64, least_group: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, grp, n_tokens, chars_per_token, fallback_share, entropy, keep, reason)."""
     d = _base.pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     group = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), script("text"), F.lit("other"))
     d = _base.materialize(d.select("doc_id", group.alias("grp"), measures("text", directory).alias("m")).select("doc_id", "grp", "m.*"), "fertility")
-    judged = d.where(F.col("n_tokens") >= least_tokens)
-    b = _base.materialize(bands(judged, width), "bands").withColumnRenamed("grp", "g")
-    j = d.join(b, F.col("grp") == F.col("g"), "left")
-    reason = F.when(F.col("n_tokens").isNull(), "empty").when((F.col("n_tokens") < least_tokens) | F.coalesce(F.col("docs") < least_group, F.lit(True)), "")
+    d = d.withColumn("size", F.when(F.col("n_tokens") < least_tokens, F.floor(F.log2("n_tokens"))).otherwise(-1))
+    b = _base.materialize(bands(d.where("n_tokens is not null"), width), "bands")
+    j = d.join(b, ["grp", "size"], "left")
+    reason = F.when(F.col("n_tokens").isNull(), "empty").when(F.coalesce(F.col("docs") < least_group, F.lit(True)), "")
     for name in MEASURES:
         reason = reason.when((F.col(name) < F.col(f"{name}_low")) | (F.col(name) > F.col(f"{name}_high")), name)
     j = j.withColumn("reason", reason.otherwise(""))

@@ -159,6 +159,24 @@ def test_entropy():
     assert fertility.entropies(ids, np.array([3, 0, 2])) == pytest.approx([-(2 / 3 * math.log2(2 / 3) + 1 / 3 * math.log2(1 / 3)), 0, 1])
 
 
+def test_bands_reject_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = fertility.judge(docs).join(labels, "doc_id").groupBy("quality", "keep").count().collect()
+    n = {(r["quality"], r["keep"]): r["count"] for r in got}
+    assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, False), 0) >= 0.4 * (n.get((0, False), 0) + n[0, True])
+
+
+def test_short_texts_have_bands(spark):
+    words = "the cat sat on a mat and saw that it was fine to be there in rain".split()
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words, 20)), "en") for i in range(200)]
+    rows += [(900, "zq" * 10, "en"), (901, "the " * 20, "en")]
+    kept = {r["doc_id"]: r["keep"] for r in fertility.judge(table(spark, rows)).collect()}
+    assert not kept[900] and not kept[901]
+    assert sum(kept.values()) >= 198
+
+
 def test_token_file_round_trip(spark):
     texts = ["hello there", "", None, "a b c " * 300]
     path = f"{spark.conf.get('spark.checkpoint.dir')}/token_round_trip"

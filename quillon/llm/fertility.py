@@ -17,6 +17,8 @@ to judge by.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,13 +69,43 @@ def _byte_range(directory: str, piece: str) -> tuple[int, int]:
     return min(ids), max(ids) + 1
 
 
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Katakana", "Hiragana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai", "other")
+
+
+@functools.lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """The place in SCRIPTS of each letter, by code point; -1 where it isn't a letter."""
+    points = np.delete(np.arange(0x110000), np.arange(0xD800, 0xE000))
+    signs = pa.array(map(chr, points.tolist()))
+    letters = pc.match_substring_regex(signs, r"\pL")
+    points, signs = points[letters.to_numpy(zero_copy_only=False)], signs.filter(letters)
+    table = np.full(0x110000, -1, np.int8)
+    table[points] = len(SCRIPTS) - 1
+    for i, name in enumerate(SCRIPTS[:-1]):
+        table[points[pc.match_substring_regex(signs, rf"\p{{{name}}}").to_numpy(zero_copy_only=False)]] = i
+    return table
+
+
+def scripts(texts: pa.Array) -> pa.Array:
+    """The script of most of each text's letters, of equals the first in SCRIPTS; "other" where there are none, null for null."""
+    most = [np.zeros(0, np.int64)]
+    for part in _base.chunks(texts):
+        chars, lengths = _base.codepoints(part)
+        kind = _script_table()[chars] if len(chars) else np.zeros(0, np.int8)
+        owner = np.repeat(np.arange(len(part)), lengths)[kind >= 0]
+        votes = np.bincount(owner * len(SCRIPTS) + kind[kind >= 0], minlength=len(part) * len(SCRIPTS)).reshape(len(part), len(SCRIPTS))
+        most.append(np.where(votes.any(1), votes.argmax(1), len(SCRIPTS) - 1))
+    return pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), pa.array(SCRIPTS).take(pa.array(np.concatenate(most))))
+
+
 def script(text: Column | str) -> Column:
-    """The script of a text's first letter: enough to group texts that have no language."""
-    letter = F.regexp_extract(text, r"(\p{L})", 1)
-    out = F.lit("other")
-    for name in ("Thai", "Devanagari", "Hebrew", "Arabic", "Hangul", "Hiragana", "Katakana", "Han", "Greek", "Cyrillic", "Latin"):
-        out = F.when(letter.rlike(rf"\p{{Is{name}}}"), name).otherwise(out)
-    return out
+    """The script of most of a text's letters: enough to group texts that have no language."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return scripts(texts)
+
+    return run(text)
 
 
 def bands(measured: DataFrame, width: float) -> DataFrame:
@@ -94,7 +126,8 @@ def bands(measured: DataFrame, width: float) -> DataFrame:
 def judge(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, width: float = 3.0, least_tokens: int = 64, least_group: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, grp, n_tokens, chars_per_token, fallback_share, entropy, keep, reason)."""
     d = _base.pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    group = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), script("text"), F.lit("other"))
+    lang = F.nullif(F.trim("lang"), F.lit(""))
+    group = F.coalesce(lang, script(F.when(lang.isNull(), F.col("text"))), F.lit("other"))
     d = _base.materialize(d.select("doc_id", group.alias("grp"), measures("text", directory).alias("m")).select("doc_id", "grp", "m.*"), "fertility")
     d = d.withColumn("size", F.when(F.col("n_tokens") < least_tokens, F.floor(F.log2("n_tokens"))).otherwise(-1))
     b = _base.materialize(bands(d.where("n_tokens is not null"), width), "bands")

@@ -177,6 +177,14 @@ def test_short_texts_have_bands(spark):
     assert sum(kept.values()) >= 198
 
 
+def test_script_is_that_of_most_letters(spark):
+    texts = ["IBM https://x.org открыла завод в городе", "Да, this is an English text", "Ωmega and so on", "NASA องค์การบริหารการบินและอวกาศ", "ሰላም ለዓለም ok", "12 !?", "", None]
+    want = ["Cyrillic", "Latin", "Latin", "Thai", "other", "other", "other", None]
+    assert fertility.scripts(pa.array(texts)).to_pylist() == want
+    rows = [(i, t, [None, " "][i % 2]) for i, t in enumerate(texts)] + [(9, texts[0], "bg")]
+    assert {r["doc_id"]: r["grp"] for r in fertility.judge(table(spark, rows)).collect()} == {i: w or "other" for i, w in enumerate(want)} | {9: "bg"}
+
+
 def test_token_file_round_trip(spark):
     texts = ["hello there", "", None, "a b c " * 300]
     path = f"{spark.conf.get('spark.checkpoint.dir')}/token_round_trip"

@@ -28,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens lie in the windows of three context sizes."""
+    """Where each document's bytes (a byte-level model's tokens) lie in the windows of three context sizes."""
     return packing.pack(docs)
 
 

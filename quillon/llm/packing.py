@@ -8,6 +8,7 @@ turn, take pieces from the tiers below into the gaps they have left, largest
 pieces first; what is taken is not packed below. A tier's windows are dealt to
 step groups of ``group`` windows so that groups hold like numbers of tokens.
 
+Lengths are numbers of ids of the byte BPE (``token_lengths``), or bytes: see pack.
 Only ids and lengths are shuffled. Shards of about ``shard_docs`` documents are
 packed apart; their number follows the number of documents.
 
@@ -21,12 +22,14 @@ from __future__ import annotations
 import bisect
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm import _base
+from quillon.llm import _base, tokens
 
 TIERS = (2048, 8192, 32768)
 
@@ -107,16 +110,28 @@ def pack_shard(docs: list[tuple], tiers: tuple[int, ...], group: int) -> list[tu
     return rows
 
 
+def token_lengths(text: Column | str = "text", directory: str = _base.TOKENIZER_DIR, name: str = tokens.BPE_FILE) -> Column:
+    """Each whole text's number of byte BPE ids; a null text has none."""
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        counts = [tokens.byte_bpe(directory, name).encode(part)[1] for part in _base.chunks(texts)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
+
+    return run(text)
+
+
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = 8, shard_docs: int = 20_000, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(context, shard, window, place, step_group, doc_id, copy, start, n_tokens, offset).
 
-    ``length`` gives the number of tokens of column ``text``; the default counts bytes, as a byte-level model does.
+    ``length`` gives the number of tokens of column ``text``, such as token_lengths("text"); the default counts bytes, for a byte-level model.
     """
     if list(tiers) != sorted(set(tiers)) or tiers[0] < 1:
         raise ValueError("tiers must be positive and increasing")
     d = _base.pick(docs, doc_id=id_col, text=text_col)
     n = F.octet_length("text") if length is None else length
-    d = _base.materialize(d.select("doc_id", n.cast("long").alias("n")).where("n > 0"), "lengths")
+    # a filter before the table is written would compute the lengths twice
+    d = _base.materialize(d.select("doc_id", n.cast("long").alias("n")), "lengths").where("n > 0")
     shards = max(1, -(-d.count() // shard_docs))
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)))
     kind = d.schema["doc_id"].dataType

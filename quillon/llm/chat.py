@@ -5,7 +5,7 @@ into a tree, constants are folded, and the tree becomes Python closures. It is
 a sandbox: there are no calls but those of the named filters, tests and
 functions, members are only looked up in mappings, sequences and strings'
 own slices, names with an underscore in front are refused, and a rendering has
-a budget of steps.
+a budget of steps that grows with the number of messages.
 
     {{ expr }}   {% if %} {% elif %} {% else %} {% endif %}
     {% for x in xs %} {% else %} {% endfor %}   {% set x = expr %}
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from quillon.llm import _base
 
 CHATML = "{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.content }}<|im_end|>{% endgeneration %}{% else %}{{ m.content }}<|im_end|>{% endif %}{{ '\n' }}{% endfor %}"
-MAX_STEPS = 1_000_000
+#: What a rendering may take: so many steps, and so many for each message.
+MAX_STEPS, STEPS_PER_MESSAGE = 1_000_000, 1_000
 
 
 class TemplateError(ValueError):
@@ -497,10 +498,12 @@ def fold(node: Node) -> Node:
 
 
 class _Run:
-    __slots__ = ("names", "out", "size", "marks", "steps")
+    __slots__ = ("names", "out", "size", "marks", "steps", "most")
 
     def __init__(self, names: dict):
         self.names, self.out, self.size, self.marks, self.steps = names, [], 0, [], 0
+        messages = names.get("messages")
+        self.most = MAX_STEPS + STEPS_PER_MESSAGE * (len(messages) if isinstance(messages, (list, tuple)) else 0)
 
     def write(self, text: str) -> None:
         self.out.append(text)
@@ -559,7 +562,7 @@ def _closure(node: Node) -> Callable[[_Run], Any]:
 
         def run_block(r: _Run) -> None:
             r.steps += len(body)
-            if r.steps > MAX_STEPS:
+            if r.steps > r.most:
                 raise TemplateError("too many steps")
             for f in body:
                 f(r)

@@ -26,7 +26,8 @@ is dropped: two nodes of one group need no edge of their own.
 
 Defined results: a document without words (null, empty, or signs only) and one
 with a null id is alone in its group. Repeated rows share a group. group_id is
-the least doc_id of the group. Ids must be of a sortable type.
+the least doc_id of the group. Different texts under one id may be in
+different groups, which then may have the same group_id. Ids must be of a sortable type.
 """
 
 from __future__ import annotations
@@ -233,8 +234,9 @@ def _grouped(d: DataFrame, max_distance: int) -> DataFrame:
     prints = _base.materialize(prints, "prints")
     usable = prints.where("n > 0 and doc_id is not null")
     rest = prints.where("n = 0 or doc_id is null").select("doc_id", "h", F.col("doc_id").alias("group_id"))
-    bags = usable.groupBy("bag1", "bag2", "n").agg(F.min("doc_id").alias("gid"), *[F.first(c).alias(c) for c in "abcd"])
-    nodes = _base.materialize(bags, "nodes")
+    bags = usable.groupBy("bag1", "bag2", "n").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in "abcd"])
+    # a doc_id may have several bags, so nodes go by their bag
+    nodes = _base.materialize(bags.withColumn("gid", F.xxhash64("bag1", "bag2", "n")), "nodes")
     lanes = [F.col(c) for c in "abcd"]
     near = nodes.select("gid", F.explode(_nearest(*lanes)).alias("key"))
     pivot = near.groupBy("key").agg(F.min("gid").alias("x"))
@@ -247,7 +249,8 @@ def _grouped(d: DataFrame, max_distance: int) -> DataFrame:
     close = (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= CHECK_DISTANCE)
     pairs = role(True, "x").join(role(False, "y"), "key").where(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tree = components(stars.union(_verified(pairs, nodes, max_distance)))
-    rooted = nodes.join(tree, nodes.gid == tree.node, "left").select("bag1", "bag2", "n", F.coalesce("root", "gid").alias("group_id"))
+    rooted = nodes.join(tree, nodes.gid == tree.node, "left").select("bag1", "bag2", "n", "least", F.coalesce("root", "gid").alias("root"))
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group_id")), "root").drop("root", "least")
     return usable.join(rooted, ["bag1", "bag2", "n"]).select("doc_id", "h", "group_id").unionByName(rest)
 
 

@@ -7,7 +7,8 @@ size is fixed by the vocabulary and checked before it is broadcast), edges are
 grouped by word, and a higher-order ``aggregate`` folds Viterbi over them.
 The chunk's texts then look their words up.
 
-Decoding: ids index an array of piece bytes, which are joined and read as UTF-8.
+Decoding: ids index the pieces' bytes, which are joined and read as UTF-8, an
+Arrow chunk at a time.
 
 A word is a space and what follows it, the first word getting a space of its
 own. Characters without a piece, and a literal U+2581, become byte ids, so
@@ -25,13 +26,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import _base, pieces, tokens
 
 MOST_CHARS = 200
+CHUNK_IDS = 1 << 20
 BROADCAST_PIECES = 1_000_000
 
 
@@ -171,10 +173,36 @@ def apply_words(texts: pa.Table, table: pa.Table, voc: pieces.Vocabulary) -> pa.
     return pa.table([texts["doc_id"], ids], names=["doc_id", "ids"])
 
 
+def decode_ids(lists: pa.Array, voc: pieces.Vocabulary) -> pa.Array:
+    """Each list's text, without the space of its first word; null for null. Bytes that aren't UTF-8 are replaced."""
+    size = np.fromiter(map(len, voc.texts), np.int64, len(voc.texts))
+    first = np.cumsum(size) - size
+    pool = np.frombuffer(b"".join(voc.texts), np.uint8)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    texts: list[str | None] = []
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_IDS, side="right")))
+        part = lists.slice(at, to - at)
+        ids = part.flatten().to_numpy(zero_copy_only=False)
+        whole = pool[tokens.ragged(first[ids], size[ids])].tobytes()
+        upto = np.concatenate([[0], np.cumsum(size[ids])])
+        stops = upto[np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))].tolist()
+        for start, stop, valid in zip([0, *stops], stops, part.is_valid().to_pylist()):
+            texts.append(whole[start:stop].decode("utf-8", "replace")[1:] if valid else None)
+        at = to
+    return pa.array(texts, pa.string())
+
+
+def decoded(ids: Column | str, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, vocabulary: pieces.Vocabulary | None = None) -> Column:
+    @F.arrow_udf("string")
+    def run(lists: pa.Array) -> pa.Array:
+        return decode_ids(lists, vocabulary or pieces.load(directory, name))
+
+    return run(ids)
+
+
 def decode(encoded: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, vocabulary: pieces.Vocabulary | None = None, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text): null ids give a null text. The pieces' bytes are one row, as large as the vocabulary."""
-    voc = vocabulary or pieces.load(directory, name)
+    """(doc_id, ids, text) for each row: null ids give a null text."""
     d = _base.pick(encoded, doc_id=id_col, ids=ids_col)
-    table = d.sparkSession.createDataFrame([([t.hex() for t in voc.texts],)], "hexes array<string>")
-    joined = d.crossJoin(F.broadcast(table))
-    return joined.select("doc_id", F.expr("substring(decode(unhex(array_join(transform(ids, i -> hexes[i]), '')), 'UTF-8'), 2)").alias("text"))
+    return d.select("doc_id", "ids", decoded("ids", directory, name, vocabulary).alias("text"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm import _base
 
@@ -32,6 +33,7 @@ RANGES = (
 )
 OTHERS = tuple(dict.fromkeys(name for *_, name in RANGES if name))
 DIM = 1 << 15
+SHARES = 64
 RESULT = "struct<lang:string,share:double,n_words:bigint,keep:boolean,spans:array<struct<lang:string,start:int,end:int>>>"
 
 
@@ -63,15 +65,19 @@ def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, max_rows: int = 1200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit n-gram scores on a bounded sample of labelled rows: those ``max_rows`` whose hashed id is least.
+    """Fit n-gram scores for every language of the labelled rows, on a bounded sample of each: those ``max_rows`` whose hashed id is least.
 
-    Ids alone are looked at to find the sample; then its rows are read whole.
+    Ids and languages alone are looked at to find the sample; then its rows are read whole.
     """
     d = _base.pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and lang != 'und' and text is not null")
-    order = F.xxhash64(F.lit(17), "doc_id")
-    ids = d.select(order.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    rows = d.where(order <= F.lit(ids)).orderBy(order).limit(max_rows).select("lang", "text").toArrow() if ids is not None else None
-    if rows is None or not rows.num_rows:
+    d = d.withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
+    # the least of each share of a language first, so that no task sorts the whole of a common one
+    least = lambda rows, *by: rows.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("at") <= max_rows)
+    some = least(d.select("lang", "h", F.pmod("h", F.lit(SHARES)).alias("share")), "lang", "share")
+    cuts = least(some.select("lang", "h"), "lang").groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = _base.materialize(cuts, "cuts").withColumnRenamed("lang", "of")
+    rows = least(d.join(F.broadcast(cuts), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("cut"))).select("lang", "text", "h"), "lang").orderBy("lang", "h").select("lang", "text").toArrow()
+    if not rows.num_rows:
         return Model((), np.zeros((DIM, 0), np.float32))
     langs = tuple(sorted(set(rows["lang"].to_pylist())))
     counts = np.full((DIM, len(langs)), 0.05)

@@ -33,7 +33,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("packing", packed)]
-#: Viterbi labels, trained weights and packing are beyond SQL; tests/llm holds the stages against brute force.
+#: Viterbi labels, trained weights and packing are beyond SQL. No stage as a whole is held against brute force: test_pipeline
+#: checks that texts are distinct and byte totals agree.
 ORACLE_SQL = None
 
 

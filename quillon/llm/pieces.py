@@ -7,12 +7,15 @@ import math
 import os
 from dataclasses import dataclass
 
+import regex
+
 from quillon.llm._base import TOKENIZER_DIR
 
 SPACE = "▁"
 PIECE_FILE = "piece_bpe_32k.model"
 #: Whitespace runs and the like carry a prohibitive score in the file; they take no part in a lattice.
 ABSENT = -1e8
+_CROSSES = regex.compile(r"[\p{L}\p{M}][^\p{L}\p{M}]|[^\p{L}\p{M}][\p{L}\p{M}]")
 
 
 @dataclass(frozen=True)
@@ -25,10 +28,15 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     texts: tuple[bytes, ...]
 
-    @property
+    @functools.cached_property
     def longest(self) -> int:
         return max(map(len, self.logp), default=1)
 
+    @functools.cached_property
+    def cut(self) -> bool:
+        """Whether no piece holds a letter beside another character, the mark in front aside."""
+        return not any(_CROSSES.search(p.removeprefix(SPACE)) for p in self.logp)
+
 
 def from_scores(scores: dict[str, float], ranks: bool = False) -> Vocabulary:
     """A vocabulary of given pieces. With ``ranks`` a score of -r is a merge rank r and not a log-probability.

@@ -8,6 +8,7 @@ the input, whatever they are called, cannot clash with its own.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER_DIR = "/opt/tokenizers"
 CHUNK_BYTES = 4 << 20
+_LIBC = ctypes.CDLL(None)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -42,9 +44,11 @@ def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark runs within one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -62,6 +66,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def trim() -> None:
+    """Give memory that Arrow and numpy have freed back to the system: idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     """Slices of at most ``limit`` bytes, or one text; nulls become empty. No text is cut."""
     texts = pc.fill_null(texts, "")
@@ -113,9 +132,11 @@ def lower_words(texts: pa.Array) -> Words:
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of ``values[starts[i]:starts[i+1]]`` for each i; 0 for empty slices."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Sum of ``values[starts[i]:starts[i+1]]`` for each i; 0 for empty slices. It depends on the slice alone, not on what lies before it."""
+    out, some = np.zeros(len(starts) - 1), np.diff(starts) > 0
+    if some.any():
+        out[some] = np.add.reduceat(np.asarray(values[: starts[-1]], np.float64), starts[:-1][some])
+    return out
 
 
 def codepoints(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:

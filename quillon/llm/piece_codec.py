@@ -46,10 +46,10 @@ from quillon.llm import _base, pieces, tokens
 
 MOST_CHARS = 200
 CHUNK_IDS = 1 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BROADCAST_PIECES = 1_000_000
-#: How many distinct words a unit gathers before it passes them on.
-HELD_WORDS = 1_000_000
+#: How many distinct words a unit gathers, and how many go back together, before they are passed on.
+HELD_WORDS, PACKED_WORDS = 1_000_000, 200_000
 #: An edge in one number: score in millionths, 255 - start (so that the longest piece wins a tie), id; the last id stands for a character without a piece.
 START_BIT, SCORE_BIT = 20, 28
 UNKNOWN = (1 << START_BIT) - 1
@@ -158,6 +158,7 @@ def _by_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = edges.slice(at).to_batches()
     if held:
         yield _grouped(pa.Table.from_batches(held), np.zeros(1, np.int64))
+    _base.trim()
 
 
 def _grouped(edges: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
@@ -222,11 +223,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         n += len(batch.column("units").flatten())
-        if n > HELD_WORDS:
+        if n > PACKED_WORDS:
             yield from passed()
             held, n = [], 0
     if n:
         yield from passed()
+    held.clear()
+    _base.trim()
 
 
 def _listed(cut: bool):
@@ -250,6 +253,7 @@ def _listed(cut: bool):
                 if len(held) > HELD_WORDS:
                     yield from passed()
         yield from passed()
+        _base.trim()
 
     return run
 
@@ -326,6 +330,8 @@ def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pi
                 at += len(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(rows.column("text").is_null().to_numpy(zero_copy_only=False), False))
                 yield pa.record_batch([rows.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "ids"])
+        known = None
+        _base.trim()
 
     return d.mapInArrow(look_up, schema)
 

@@ -1,23 +1,23 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
 Fingerprint: 256 sign bits over a text's distinct lower-case words, each
-weighing the square root of its length, so that the short words that all texts
-of a language share don't make them alike. The first 138 bits are six segments
-of 23. The binary Golay code [23,12,7] is perfect: every segment is within 3
+weighing the square root of its length (of 8 characters at most), so that the
+short words that all texts of a language share don't make them alike. The
+first 161 bits are seven segments of 23. The binary Golay code [23,12,7] is perfect: every segment is within 3
 bits of one codeword, and within 4 bits of one codeword (leader of weight 0 to
 2) or six (weight 3). For segments x and y that differ in one bit, the nearest
 codeword of y is always among the codewords within 4 of x; often so for two
 bits.
 
-Pigeonhole: with up to 9 wrong bits in 138, two of the six segments have at
-most one each. For each of the 15 pairs of segments a key of 24 bits is made
+Pigeonhole: with up to 11 wrong bits in 161, two of the seven segments have at
+most one each. For each of the 21 pairs of segments a key of 24 bits is made
 in two roles: codeword list of the first segment with the nearest codeword of
 the second, and the other way round. One role is joined to the other, so such
-a pair is sure to meet; beyond 9 bits it is likely (see recall in the README).
+a pair is sure to meet; beyond 11 bits it is likely (see recall in the README).
 
-A key carries the last 64 bits of the fingerprint, which no segment uses: a
-candidate that differs there in more than ``CHECK_DISTANCE`` bits ends in the
-join. The others are verified by the Hamming distance of the whole
+A key carries the last 128 bits of the fingerprint: a candidate that differs
+there in more than ``max_distance`` bits differs in as many of the whole, so it
+ends in the join. The others are verified by the Hamming distance of the whole
 fingerprints and joined into groups. Documents with the same bag of words are one node from the
 start. Stars come before pairs: first every node is held against the least
 node of its bucket, and pairs are formed only across the groups so found, so a
@@ -45,9 +45,8 @@ from pyspark.sql import types as T
 
 from quillon.llm import _base
 
-SEGMENTS, BITS, WIDTH = 6, 256, 23
+SEGMENTS, BITS, WIDTH = 7, 256, 23
 MAX_DISTANCE = 40
-CHECK_DISTANCE = 20
 GENERATOR = 0xAE3
 PAIRS = tuple(itertools.combinations(range(SEGMENTS), 2))
 CHUNK = 1 << 20
@@ -124,13 +123,13 @@ def _dot(weight: np.ndarray, signs: np.ndarray, index: np.ndarray) -> np.ndarray
 
 
 def segments(prints: np.ndarray) -> np.ndarray:
-    """The six segments of 23 bits of n x 4 words."""
+    """The seven segments of 23 bits of n x 4 words."""
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH)
     return bits.astype(np.int64) @ (1 << np.arange(WIDTH))
 
 
 def nearest_keys(prints: np.ndarray) -> np.ndarray:
-    """n x 15 keys, of the nearest codewords of each pair of segments."""
+    """n x 21 keys, of the nearest codewords of each pair of segments."""
     index = near_codewords(segments(prints))[0][:, :, 0]
     return np.stack([k << 24 | index[:, i] << 12 | index[:, j] for k, (i, j) in enumerate(PAIRS)], 1)
 
@@ -217,7 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
         up = tree2.select(F.col("node").alias("n"), F.col("root").alias("r3"))
         tree3 = _base.materialize(tree2.join(up, tree2.root == up.n, "left").select("node", F.least("root", F.coalesce("r3", "root")).alias("root")), "tree")
         old = tree.select(F.col("node").alias("n"), F.col("root").alias("o"))
-        if tree3.join(old, tree3.node == old.n).where("root != o").isEmpty():
+        done = tree3.join(old, tree3.node == old.n).where("root != o").isEmpty()
+        _base.discard(tree)
+        _base.discard(tree2)
+        if done:
+            _base.discard(edges)
             return tree3
         tree = tree3
 
@@ -245,8 +248,8 @@ def _grouped(d: DataFrame, max_distance: int) -> DataFrame:
     tree = components(stars)
     seen = nodes.join(tree, nodes.gid == tree.node, "left").select("gid", *lanes, F.coalesce("root", "gid").alias("root"))
     seen = _base.materialize(seen, "seen")
-    role = lambda first, n: seen.select(F.col("gid").alias(n), F.col("root").alias(f"r{n}"), F.col("d").alias(f"d{n}"), F.explode(_listed(first, *lanes)).alias("key"))
-    close = (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= CHECK_DISTANCE)
+    role = lambda first, n: seen.select(F.col("gid").alias(n), F.col("root").alias(f"r{n}"), F.col("c").alias(f"c{n}"), F.col("d").alias(f"d{n}"), F.explode(_listed(first, *lanes)).alias("key"))
+    close = (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) + F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= max_distance)
     pairs = role(True, "x").join(role(False, "y"), "key").where(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tree = components(stars.union(_verified(pairs, nodes, max_distance)))
     rooted = nodes.join(tree, nodes.gid == tree.node, "left").select("bag1", "bag2", "n", "least", F.coalesce("root", "gid").alias("root"))

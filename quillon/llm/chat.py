@@ -5,7 +5,8 @@ into a tree, constants are folded, and the tree becomes Python closures. It is
 a sandbox: there are no calls but those of the named filters, tests and
 functions, members are only looked up in mappings, sequences and strings'
 own slices, names with an underscore in front are refused, and a rendering has
-a budget of steps that grows with the number of messages.
+a budget of steps that grows with the number of messages, and one of memory
+that grows with their length.
 
     {{ expr }}   {% if %} {% elif %} {% else %} {% endif %}
     {% for x in xs %} {% else %} {% endfor %}   {% set x = expr %}
@@ -32,6 +33,8 @@ from quillon.llm import _base
 CHATML = "{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.content }}<|im_end|>{% endgeneration %}{% else %}{{ m.content }}<|im_end|>{% endif %}{{ '\n' }}{% endfor %}"
 #: What a rendering may take: so many steps, and so many for each message.
 MAX_STEPS, STEPS_PER_MESSAGE = 1_000_000, 1_000
+#: How long the output, and any value on the way, may get: so many characters or items, and so many for each character of the messages.
+MAX_SIZE, SIZE_PER_CHAR = 1_000_000, 100
 
 
 class TemplateError(ValueError):
@@ -229,7 +232,7 @@ class _Parser:
         value = self.postfix()
         while self.take("|"):
             name = self.name()
-            if name not in FILTERS:
+            if name not in FILTERS and name not in GROWING:
                 raise TemplateError(f"no filter {name!r}")
             value = Node("filter", (name, value, self.arguments() if self.take("(") else ()))
         return value
@@ -400,9 +403,14 @@ def _length(x: Any) -> int:
 
 FILTERS: dict[str, Callable] = {
     "trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "length": _length, "count": _length,
-    "default": lambda x, d="": d if isinstance(x, Undefined) else x, "join": lambda x, by="": _text(by).join(map(_text, x)), "string": _text,
+    "default": lambda x, d="": d if isinstance(x, Undefined) else x, "string": _text,
     "first": lambda x: x[0] if x else MISSING, "last": lambda x: x[-1] if x else MISSING, "int": lambda x: int(x or 0), "tojson": lambda x: json.dumps(x, ensure_ascii=False),
-    "replace": lambda x, old, new: _text(x).replace(_text(old), _text(new)), "list": lambda x: list(x), "title": lambda x: _text(x).title(), "capitalize": lambda x: _text(x).capitalize(),
+    "title": lambda x: _text(x).title(), "capitalize": lambda x: _text(x).capitalize(),
+}
+#: Filters whose result may be larger than what they are given: they also get the rendering.
+GROWING: dict[str, Callable] = {
+    "join": lambda r, x, by="": r.fits(_text(by), len(list(x))) and _text(by).join(map(_text, x)), "list": lambda r, x: r.fits(x) and list(x),
+    "replace": lambda r, x, old, new: r.fits(_text(new), 1 + _text(x).count(_text(old))) and _text(x).replace(_text(old), _text(new)),
 }
 TESTS: dict[str, Callable] = {
     "defined": lambda x: not isinstance(x, Undefined), "undefined": lambda x: isinstance(x, Undefined), "none": lambda x: x is None, "string": lambda x: isinstance(x, str),
@@ -498,16 +506,29 @@ def fold(node: Node) -> Node:
 
 
 class _Run:
-    __slots__ = ("names", "out", "size", "marks", "steps", "most")
+    __slots__ = ("names", "out", "size", "marks", "steps", "most", "room")
 
     def __init__(self, names: dict):
         self.names, self.out, self.size, self.marks, self.steps = names, [], 0, [], 0
         messages = names.get("messages")
-        self.most = MAX_STEPS + STEPS_PER_MESSAGE * (len(messages) if isinstance(messages, (list, tuple)) else 0)
+        messages = messages if isinstance(messages, (list, tuple)) else ()
+        self.most = MAX_STEPS + STEPS_PER_MESSAGE * len(messages)
+        self.room = MAX_SIZE + SIZE_PER_CHAR * sum(len(x) + 1 for m in messages if isinstance(m, dict) for x in m.values() if isinstance(x, str))
 
     def write(self, text: str) -> None:
         self.out.append(text)
         self.size += len(text)
+        if self.size > self.room:
+            raise TemplateError("too long a text")
+
+    def fits(self, value: Any, times: int = 1) -> bool:
+        """True, or an error if so many times the value is more than there is room for."""
+        if isinstance(value, (str, list, tuple, dict, range)) and len(value) * times > self.room:
+            raise TemplateError("too large a value")
+        return True
+
+    def checked(self, value: Any) -> Any:
+        return value if self.fits(value) else None
 
 
 def _closure(node: Node) -> Callable[[_Run], Any]:
@@ -541,12 +562,16 @@ def _closure(node: Node) -> Callable[[_Run], Any]:
         return lambda r: yes(r) if test(r) else no(r)
     if kind == "binary":
         op, left, right = BINARY[a[0]], _closure(a[1]), _closure(a[2])
-        return lambda r: op(left(r), right(r))
+        return (lambda r: r.checked(op(left(r), right(r)))) if a[0] in "+~" else (lambda r: op(left(r), right(r)))
     if kind == "test":
         test, inner = TESTS[a[0]], _closure(a[1])
         return lambda r: test(inner(r))
     if kind == "filter":
-        f, inner, extra = FILTERS[a[0]], _closure(a[1]), [_closure(x) for x in a[2]]
+        inner, extra = _closure(a[1]), [_closure(x) for x in a[2]]
+        if a[0] in GROWING:
+            grow = GROWING[a[0]]
+            return lambda r: r.checked(grow(r, inner(r), *(x(r) for x in extra)))
+        f = FILTERS[a[0]]
         return lambda r: f(inner(r), *(x(r) for x in extra))
     if kind == "call":
         f, extra = FUNCTIONS[a[0]], [_closure(x) for x in a[1]]
@@ -612,8 +637,11 @@ def _closure(node: Node) -> Callable[[_Run], Any]:
 
 class Template:
     def __init__(self, source: str):
-        self.tree = fold(parse(source))
-        self._run = _closure(self.tree)
+        try:
+            self.tree = fold(parse(source))
+            self._run = _closure(self.tree)
+        except RecursionError as e:
+            raise TemplateError("nested too deeply") from e
 
     def render(self, names: dict) -> tuple[str, list[tuple[int, int]]]:
         """The text, and the start and end of each generation mark. An empty mark is kept."""
@@ -649,7 +677,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML, id_col: str =
             try:
                 text, marks = made.render({"messages": m.as_py()})
                 rows.append({"text": text, "spans": ",".join(f"{a}:{b}" for a, b in marks), "error": None})
-            except (TemplateError, TypeError, ArithmeticError, LookupError) as e:
+            except (ValueError, TypeError, ArithmeticError, LookupError, AttributeError, RecursionError) as e:
                 rows.append({"text": None, "spans": None, "error": str(e)})
         return pa.array(rows, pa.struct([("text", pa.string()), ("spans", pa.string()), ("error", pa.string())]))
 

@@ -5,16 +5,19 @@ One that is longer than the largest is cut into whole windows of that size, and
 what is left is routed like a document. Each tier is packed best-fit
 decreasing. Then the windows of the longest tier, and of each shorter one in
 turn, take pieces from the tiers below into the gaps they have left, largest
-pieces first; what is taken is not packed below. A tier's windows are dealt to
-step groups of ``group`` windows so that groups hold like numbers of tokens.
+pieces first; what is taken is not packed below. A tier's windows, of all shards
+together, are dealt to step groups of ``group`` windows (one or a few less in
+some), the fullest first, so that groups hold like numbers of tokens.
 
 Lengths are numbers of ids of the byte BPE (``token_lengths``), or bytes: see pack.
 Only ids and lengths are shuffled. Shards of about ``shard_docs`` documents are
 packed apart; their number follows the number of documents.
 
 Defined results: null and empty texts have no tokens and no rows. Repeated rows
-are packed as often as they come, told apart by ``copy``. Equal lengths go by
-id (as a string), copy and start. An empty table gives no rows.
+are packed as often as they come, told apart by ``copy``; so are texts of equal
+length under one id, and those of other lengths by ``doc_tokens``. Null ids
+are an id. Equal lengths go by id (as a string), copy and start. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillon.llm import _base, tokens
 
 TIERS = (2048, 8192, 32768)
+BLOCK = 1024
 
 
 def route(length: int, tiers: tuple[int, ...]) -> list[tuple[int, int, int]]:
@@ -76,8 +81,8 @@ def fill(gap: int, keys: list[tuple[int, int]]) -> list[int]:
     return took
 
 
-def pack_shard(docs: list[tuple], tiers: tuple[int, ...], group: int) -> list[tuple]:
-    """(tier, window, place, group, doc, start, n, offset) for documents (doc, length), in a fixed order."""
+def pack_shard(docs: list[tuple], tiers: tuple[int, ...]) -> list[tuple]:
+    """(tier, window, place, doc, start, n, offset) for documents (doc, length), in a fixed order."""
     pieces: dict[int, list[tuple]] = defaultdict(list)
     for order, (doc, length) in enumerate(docs):
         for tier, start, n in route(length, tiers):
@@ -98,18 +103,31 @@ def pack_shard(docs: list[tuple], tiers: tuple[int, ...], group: int) -> list[tu
                     w += [there[i] for i in took]
                     gone.update(took)
             left[below] = [p for i, p in enumerate(there) if i not in gone]
-        full = sorted(range(len(windows)), key=lambda w: (-sum(p[4] for p in windows[w]), w))
-        groups = -(-len(windows) // group)
-        for rank, w in enumerate(full):
-            lap, at = divmod(rank, max(1, groups))
-            step = at if lap % 2 == 0 else groups - 1 - at
+        for w, held in enumerate(windows):
             offset = 0
-            for place, (_, _, start, doc, n) in enumerate(windows[w]):
-                rows.append((tier, w, place, step, doc, start, n, offset))
+            for place, (_, _, start, doc, n) in enumerate(held):
+                rows.append((tier, w, place, doc, start, n, offset))
                 offset += n
     return rows
 
 
+def dealt(windows: DataFrame, group: int) -> DataFrame:
+    """(context, shard, window, step_group) of windows (context, shard, window, fill): the fullest first, to and fro over the groups of a context.
+
+    Windows are stored by range, so that each range's number of windows gives
+    the ranks of the next, and no task sees all windows.
+    """
+    order = [F.col("context"), F.desc("fill"), F.col("shard"), F.col("window")]
+    ranged = _base.materialize(windows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "windows")
+    counts = ranged.groupBy("context", "range").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy("context")
+    counts = counts.select("context", "range", (F.sum("c").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"), F.ceil(F.sum("c").over(by) / group).cast("long").alias("groups"))
+    rank = F.row_number().over(Window.partitionBy("context", "range").orderBy(*order)) - 1 + F.col("before")
+    ranked = ranged.join(counts, ["context", "range"]).withColumn("rank", rank)
+    at, lap = F.col("rank") % F.col("groups"), F.floor(F.col("rank") / F.col("groups"))
+    return ranked.select("context", "shard", "window", F.when(lap % 2 == 0, at).otherwise(F.col("groups") - 1 - at).cast("long").alias("step_group"))
+
+
 def token_lengths(text: Column | str = "text", directory: str = _base.TOKENIZER_DIR, name: str = tokens.BPE_FILE) -> Column:
     """Each whole text's number of byte BPE ids; a null text has none."""
 
@@ -122,7 +140,7 @@ def token_lengths(text: Column | str = "text", directory: str = _base.TOKENIZER_
 
 
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = 8, shard_docs: int = 20_000, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(context, shard, window, place, step_group, doc_id, copy, start, n_tokens, offset).
+    """(context, shard, window, place, step_group, doc_id, doc_tokens, copy, start, n_tokens, offset).
 
     ``length`` gives the number of tokens of column ``text``, such as token_lengths("text"); the default counts bytes, for a byte-level model.
     """
@@ -133,26 +151,26 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = 8, shard_
     # a filter before the table is written would compute the lengths twice
     d = _base.materialize(d.select("doc_id", n.cast("long").alias("n")), "lengths").where("n > 0")
     shards = max(1, -(-d.count() // shard_docs))
-    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)))
+    # equal rows are counted, and shared out in blocks: no id, null included, is more than a block to a shard
+    d = d.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("times")).select("doc_id", "n", "times", F.explode(F.expr(f"sequence(0L, (times - 1) div {BLOCK})")).alias("block"))
+    first = F.col("block") * BLOCK
+    d = d.select("doc_id", "n", first.alias("first"), F.least(F.lit(BLOCK), F.col("times") - first).alias("times"), F.pmod(F.xxhash64(F.lit(5), "doc_id", "n", "block"), F.lit(shards)).alias("shard"))
     kind = d.schema["doc_id"].dataType
     schema = T.StructType([
-        T.StructField("context", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("window", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("step_group", T.LongType()),
-        T.StructField("doc_id", kind), T.StructField("copy", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("offset", T.LongType()),
+        T.StructField("context", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("window", T.LongType()), T.StructField("place", T.IntegerType()),
+        T.StructField("doc_id", kind), T.StructField("doc_tokens", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("offset", T.LongType()),
     ])
     integral = isinstance(kind, T.IntegralType)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = [None if pd.isna(x) else int(x) if integral else x for x in part["doc_id"]]
-        listed = sorted(zip(ids, part["n"].tolist()), key=lambda x: (x[0] is not None, str(x[0]), x[1]))
-        seen: dict = defaultdict(int)
-        docs = []
-        for doc, n in listed:
-            docs.append(((doc, seen[doc]), n))
-            seen[doc] += 1
-        rows = pack_shard(docs, tiers, group)
-        out = pd.DataFrame([(tiers[t], int(part["shard"].iloc[0]), w, p, g, x[0], x[1], s, m, o) for t, w, p, g, x, s, m, o in rows], columns=schema.names)
+        listed = sorted(zip(ids, part["n"].tolist(), part["first"].tolist(), part["times"].tolist()), key=lambda x: (x[0] is not None, str(x[0]), x[1:]))
+        rows = pack_shard([((doc, n, first + i), n) for doc, n, first, times in listed for i in range(times)], tiers)
+        out = pd.DataFrame([(tiers[t], int(part["shard"].iloc[0]), w, p, *x, s, m, o) for t, w, p, x, s, m, o in rows], columns=schema.names)
         if integral:
             out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    return d.groupBy("shard").applyInPandas(run, schema)
+    packed = _base.materialize(d.groupBy("shard").applyInPandas(run, schema), "packed")
+    steps = dealt(packed.groupBy("context", "shard", "window").agg(F.sum("n_tokens").alias("fill")), group)
+    return packed.join(steps, ["context", "shard", "window"]).select("context", "shard", "window", "place", "step_group", *schema.names[4:])

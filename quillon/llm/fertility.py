@@ -11,8 +11,9 @@ bands of their own for each doubling of the length.
 Defined results: a null or empty text has null measures and is not judged: keep
 is null, reason "empty". Repeated rows are judged alike. A null or blank
 language is replaced by the text's main script. Where a group has fewer than
-``least_group`` documents of a length class, they are kept: there is too little
-to judge by.
+``least_group`` documents of a length class, the bands of all groups' documents
+of that length judge them; where these are fewer too, they are kept: there is
+too little to judge by.
 """
 
 from __future__ import annotations
@@ -131,10 +132,15 @@ def judge(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, width: float =
     d = _base.materialize(d.select("doc_id", group.alias("grp"), measures("text", directory).alias("m")).select("doc_id", "grp", "m.*"), "fertility")
     d = d.withColumn("size", F.when(F.col("n_tokens") < least_tokens, F.floor(F.log2("n_tokens"))).otherwise(-1))
     b = _base.materialize(bands(d.where("n_tokens is not null"), width), "bands")
-    j = d.join(b, ["grp", "size"], "left")
-    reason = F.when(F.col("n_tokens").isNull(), "empty").when(F.coalesce(F.col("docs") < least_group, F.lit(True)), "")
+    # no group has an empty name: that one is all of them
+    every = _base.materialize(bands(d.where("n_tokens is not null").withColumn("grp", F.lit("")), width), "bands_of_all").drop("grp")
+    every = every.select(F.col("size").alias("of_size"), *[F.col(c).alias(f"all_{c}") for c in every.columns if c != "size"])
+    j = d.join(b, ["grp", "size"], "left").join(every, F.col("size") == F.col("of_size"), "left")
+    few = F.coalesce(F.col("docs") < least_group, F.lit(True))
+    reason = F.when(F.col("n_tokens").isNull(), "empty").when(few & F.coalesce(F.col("all_docs") < least_group, F.lit(True)), "")
     for name in MEASURES:
-        reason = reason.when((F.col(name) < F.col(f"{name}_low")) | (F.col(name) > F.col(f"{name}_high")), name)
+        low, high = (F.when(few, F.col(f"all_{name}_{end}")).otherwise(F.col(f"{name}_{end}")) for end in ("low", "high"))
+        reason = reason.when((F.col(name) < low) | (F.col(name) > high), name)
     j = j.withColumn("reason", reason.otherwise(""))
     keep = F.when(F.col("reason") != "empty", F.col("reason") == "")
     return j.select("doc_id", "grp", "n_tokens", *MEASURES, keep.alias("keep"), "reason")

@@ -1,8 +1,8 @@
 """Public tokenizers over Arrow chunks: each distinct word is encoded once and kept by its worker.
 
 Both tokenizers here cut before a single space, so a text's ids are those of
-its first word and of " word" for each other word. A text with two spaces in a
-row is encoded as a whole instead.
+its first word and of " word" for each other word. A text that begins with a
+space, or has two in a row, is encoded as a whole instead.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and each text's number of ids."""
         n = len(texts)
-        odd = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         words = _base.by_space(plain)
         heads = words.index[words.starts[:-1]]

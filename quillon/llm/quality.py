@@ -74,13 +74,15 @@ def rule_votes(texts: pa.Array) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, 2))
 
     cased = np.maximum(up + low, 1)
+    # full stops and words of some length are habits of alphabets of Europe: texts of other letters get no vote
+    known = far <= 0.5 * letters
     return np.stack([
         vote((up / cased > 0.5) & (cased > 20), up / cased < 0.2),
         vote(count(signs) / chars > 0.04, count(signs) / chars < 0.01),
         vote((count(raw == 124) / words > 0.15) & (words > 8), count(raw == 124) == 0),
         vote(count(raw == 33) / words > 0.25, count(raw == 33) / words < 0.05),
-        vote((words > 40) & (count(raw == 46) / words < 0.005), (count(raw == 46) / words > 0.02) & (count(raw == 46) / words < 0.4)),
-        vote((chars / words > 14) | ((chars / words < 2) & (words > 8)), (chars / words >= 3) & (chars / words <= 10)),
+        vote(known & (words > 40) & (count(raw == 46) / words < 0.005), known & (count(raw == 46) / words > 0.02) & (count(raw == 46) / words < 0.4)),
+        vote(known & ((chars / words > 14) | ((chars / words < 2) & (words > 8))), known & (chars / words >= 3) & (chars / words <= 10)),
         vote(letters / chars < 0.75, letters / chars > 0.88),
         vote((repeated > 0.6) & (many >= 5), repeated < 0.3),
         vote((echo > 0.15) & (words > 8), echo < 0.05),

@@ -12,6 +12,10 @@ the file's beginning, end_id excluded from n_tokens.
 
 A file is written beside its name and then moved there, so a task that is run
 again, after an executor is lost or as a second attempt, gives the same file.
+``write`` does its work at once and stores the index in folder "index" beside
+the files: reading the result again never touches them. The folder may be on
+any file system that Arrow reads; files are mapped where it is a local one, and
+else read batch by batch.
 
 Defined results: null and empty texts have 0 tokens and still an end_id.
 Repeated rows are stored as often as they come. An empty partition has no file.
@@ -76,7 +80,9 @@ class Sequences:
     """Random access to a file: ``ids(r)`` and ``mask(r)`` are views of the mapped file."""
 
     def __init__(self, path: str):
-        self.file = pa.ipc.open_file(pa.memory_map(path.removeprefix("file://")))
+        local = path.removeprefix("file://")
+        system, place = _open(path)
+        self.file = pa.ipc.open_file(pa.memory_map(local) if "://" not in local else system.open_input_file(place))
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
         last = self.file.get_batch(self.file.num_record_batches - 1).num_rows if self.file.num_record_batches else 0
         self.count = self.rows * max(0, self.file.num_record_batches - 1) + last
@@ -102,7 +108,7 @@ class Sequences:
 
 
 def write(docs: DataFrame, path: str, length: int = 1024, rows: int = 1024, directory: str = _base.TOKENIZER_DIR, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of the files, which are written in folder ``path`` as the index is computed."""
+    """The index of the files, which are written in the new folder ``path``."""
     d = _base.pick(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -135,4 +141,5 @@ def write(docs: DataFrame, path: str, length: int = 1024, rows: int = 1024, dire
             sink.close()
             system.move(draft, f"{folder}/{name}")
 
-    return d.mapInArrow(run, schema)
+    d.mapInArrow(run, schema).write.parquet(f"{path}/index")
+    return d.sparkSession.read.schema(schema).parquet(f"{path}/index")

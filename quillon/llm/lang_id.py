@@ -1,15 +1,20 @@
 """Language identification of mixed text.
 
-Script ranges narrow a word's candidates: a script with one language settles
-it, Latin words are scored for each trained language by hashed character
-n-grams. Viterbi over the words, with a penalty for each switch, labels spans.
-All texts of an Arrow chunk go through it together, one word position at a time.
+Script ranges narrow a word's candidates to the trained languages that are
+written in its script (a tenth of their letters at least), and hashed character
+n-grams score it for each of these. Several languages may share a script, and
+one may use several. A script that no trained language uses stands for its
+commonest language (DEFAULTS), Latin for none. Viterbi over the words, with a
+penalty for each switch, labels spans. All texts of an Arrow chunk go through
+it together, one word position at a time.
 
 Defined results: a text without letters (null, empty, signs) is "und", share 0,
 no spans, keep false. Words without letters take their neighbours' label.
 Ties go to the language that comes first in ``langs``. Repeated rows are
 labelled alike. Without labelled rows only scripts are told apart: Latin text
-is then "und" too.
+is then "und" too. A word of several scripts goes by the one of most of its
+letters, of equals the first in SCRIPTS; any kana makes it Japanese. A language
+has one label, whether it was trained or a script stands for it.
 """
 
 from __future__ import annotations
@@ -25,13 +30,17 @@ from pyspark.sql.window import Window
 
 from quillon.llm import _base
 
-#: First and last code point, and the language that the script stands for; "" has its languages scored.
+#: First and last code point of letters, and their script.
 RANGES = (
-    (0x41, 0x5A, ""), (0x61, 0x7A, ""), (0xAA, 0xAA, ""), (0xBA, 0xBA, ""), (0xC0, 0xD6, ""), (0xD8, 0xF6, ""), (0xF8, 0x24F, ""), (0x1E00, 0x1EFF, ""),
-    (0x370, 0x3FF, "el"), (0x1F00, 0x1FFF, "el"), (0x400, 0x52F, "ru"), (0x531, 0x58F, "hy"), (0x591, 0x5F4, "he"), (0x600, 0x6FF, "ar"), (0x900, 0x97F, "hi"),
-    (0x980, 0x9FF, "bn"), (0xB80, 0xBFF, "ta"), (0xE00, 0xE7F, "th"), (0x10A0, 0x10FF, "ka"), (0x1100, 0x11FF, "ko"), (0x3040, 0x30FF, "ja"), (0x3400, 0x9FFF, "zh"), (0xAC00, 0xD7AF, "ko"),
+    (0x41, 0x5A, "Latin"), (0x61, 0x7A, "Latin"), (0xAA, 0xAA, "Latin"), (0xBA, 0xBA, "Latin"), (0xC0, 0xD6, "Latin"), (0xD8, 0xF6, "Latin"), (0xF8, 0x24F, "Latin"), (0x1E00, 0x1EFF, "Latin"),
+    (0x370, 0x3FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x531, 0x58F, "Armenian"), (0x591, 0x5F4, "Hebrew"), (0x600, 0x6FF, "Arabic"), (0x900, 0x97F, "Devanagari"),
+    (0x980, 0x9FF, "Bengali"), (0xB80, 0xBFF, "Tamil"), (0xE00, 0xE7F, "Thai"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0x20000, 0x31FFF, "Han"),
 )
-OTHERS = tuple(dict.fromkeys(name for *_, name in RANGES if name))
+SCRIPTS = tuple(dict.fromkeys(name for *_, name in RANGES))
+#: What a script is taken for where no trained language writes it.
+DEFAULTS = {"Greek": "el", "Cyrillic": "ru", "Armenian": "hy", "Hebrew": "he", "Arabic": "ar", "Devanagari": "hi", "Bengali": "bn", "Tamil": "ta", "Thai": "th", "Georgian": "ka", "Hangul": "ko", "Kana": "ja", "Han": "zh"}
+#: A language is a candidate for a script that so large a share of its letters is in.
+LEAST_LETTERS = 0.1
 DIM = 1 << 15
 SHARES = 64
 RESULT = "struct<lang:string,share:double,n_words:bigint,keep:boolean,spans:array<struct<lang:string,start:int,end:int>>>"
@@ -41,6 +50,10 @@ RESULT = "struct<lang:string,share:double,n_words:bigint,keep:boolean,spans:arra
 class Model:
     langs: tuple[str, ...]
     table: np.ndarray  # DIM x langs: log-probability of an n-gram
+    scripts: np.ndarray | None = None  # SCRIPTS x langs: who is a candidate; None for everyone
+
+    def candidates(self) -> np.ndarray:
+        return np.ones((len(SCRIPTS), len(self.langs)), bool) if self.scripts is None else self.scripts
 
 
 def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +93,7 @@ def train(docs: DataFrame, max_rows: int = 1200, id_col: str = "doc_id", text_co
     if not rows.num_rows:
         return Model((), np.zeros((DIM, 0), np.float32))
     langs = tuple(sorted(set(rows["lang"].to_pylist())))
-    counts = np.full((DIM, len(langs)), 0.05)
+    counts, letters = np.full((DIM, len(langs)), 0.05), np.zeros((len(SCRIPTS), len(langs)))
     for i, lang in enumerate(langs):
         texts = rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks()
         for part in _base.chunks(texts):
@@ -88,15 +101,16 @@ def train(docs: DataFrame, max_rows: int = 1200, id_col: str = "doc_id", text_co
             grams, starts = _grams(words.unique)
             times = np.bincount(words.index, minlength=len(words.unique))
             counts[:, i] += np.bincount(grams, weights=np.repeat(times, np.diff(starts)), minlength=DIM)
-    return Model(langs, np.log(counts / counts.sum(0)).astype(np.float32))
+            kind = _SCRIPTS[_base.codepoints(part)[0]]
+            letters[:, i] += np.bincount(kind[kind >= 0], minlength=len(SCRIPTS))
+    return Model(langs, np.log(counts / counts.sum(0)).astype(np.float32), (letters > 0) & (letters >= LEAST_LETTERS * letters.sum(0)))
 
 
 def _script_table() -> np.ndarray:
-    """-1 no letter, 0 Latin, 1 + i the i-th of OTHERS, by code point (BMP and the ideographs beyond)."""
+    """The place in SCRIPTS by code point; -1 for what is no letter."""
     table = np.full(0x110000, -1, np.int8)
     for lo, hi, name in RANGES:
-        table[lo : hi + 1] = OTHERS.index(name) + 1 if name else 0
-    table[0x20000:0x32000] = OTHERS.index("zh") + 1
+        table[lo : hi + 1] = SCRIPTS.index(name)
     return table
 
 
@@ -104,39 +118,28 @@ _SCRIPTS = _script_table()
 
 
 def word_scores(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(words x (langs + 1) scores, script language of each word or -1); all 0 where there is no letter.
+    """(words x (langs + 1) scores, each word's script or -1 where it has no letter); all 0 where there is none.
 
-    The last state stands for whatever single-language script the word is in.
+    The last state stands for words in scripts that no trained language uses.
     """
     k = len(model.langs)
     chars, lengths = _base.codepoints(words)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
     kind = _SCRIPTS[chars]
-    latin = _base.sums(kind == 0, starts)
-    other = _base.sums(kind > 0, starts)
-    foreign = np.zeros(len(words), np.int64)
-    at = np.flatnonzero(kind > 0)
-    if len(at):
-        owner = np.repeat(np.arange(len(words)), lengths)[at]
-        pair, n = np.unique(owner * 64 + kind[at], return_counts=True)
-        # kana settles Japanese, else the commonest script of the word
-        weight = n + 1000 * (pair % 64 == OTHERS.index("ja") + 1)
-        order = np.lexsort((-(pair % 64), weight))
-        foreign[pair[order] // 64] = pair[order] % 64
+    at = np.flatnonzero(kind >= 0)
+    votes = np.bincount(np.repeat(np.arange(len(words)), lengths)[at] * len(SCRIPTS) + kind[at], minlength=len(words) * len(SCRIPTS)).reshape(len(words), len(SCRIPTS))
+    script = np.where(votes.any(1), votes.argmax(1), -1)
+    script[votes[:, SCRIPTS.index("Kana")] > 0] = SCRIPTS.index("Kana")
     scores = np.zeros((len(words), k + 1), np.float32)
-    scores[:, k] = np.where(latin > 0, -1e4, 0.0)
-    is_other = other > latin
-    scores[is_other] = -1e4
-    scores[is_other, k] = 0.0
-    rows = np.flatnonzero(~is_other & (latin > 0))
-    if k and len(rows):
-        some = pc.utf8_lower(words.take(pa.array(rows)))
-        grams, at = _grams(some)
-        got = np.add.reduceat(model.table[grams], at[:-1], axis=0) / 3
-        scores[rows, :k] = got - got.max(1, keepdims=True)
-    elif len(rows):
-        scores[rows] = 0.0
-    return scores, np.where(is_other, foreign - 1, np.where(latin > 0, -1, -2))
+    may = model.candidates()[np.maximum(script, 0)] & (script >= 0)[:, None]
+    some = may.any(1)
+    scores[(script >= 0) & ~some, :k] = -1e4
+    scores[some, k] = -1e4
+    rows = np.flatnonzero(some)
+    if len(rows):
+        grams, at = _grams(pc.utf8_lower(words.take(pa.array(rows))))
+        got = np.where(may[rows], np.add.reduceat(model.table[grams], at[:-1], axis=0) / 3, np.float32(-np.inf))
+        scores[rows, :k] = np.maximum(got - got.max(1, keepdims=True), np.float32(-1e4))
+    return scores, script
 
 
 def viterbi(scores: np.ndarray, index: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
@@ -176,31 +179,31 @@ def viterbi(scores: np.ndarray, index: np.ndarray, starts: np.ndarray, penalty:
 
 
 def label(texts: pa.Array, model: Model, penalty: float = 6.0, least_share: float = 0.5) -> pa.StructArray:
-    names = (*model.langs, *OTHERS, "und")
+    names = (*model.langs, *(x for x in dict.fromkeys(DEFAULTS.values()) if x not in model.langs), "und")
     k = len(model.langs)
     und = len(names) - 1
+    stands = np.array([names.index(DEFAULTS.get(x, "und")) for x in SCRIPTS])
+    alone = ~model.candidates().any(1)
     whole: list[list[np.ndarray]] = []
     for part in _base.chunks(texts):
         spaced = pc.utf8_trim(pc.replace_substring_regex(part, r"\s+", " "), " ")
         words = _base.Words(pc.split_pattern(spaced, " "))
-        scores, foreign = word_scores(words.unique, model)
+        scores, script = word_scores(words.unique, model)
         states = viterbi(scores, words.index, words.starts, penalty).astype(np.int64)
-        script = foreign[words.index]
+        script = script[words.index]
         n, owner = len(part), words.owner()
-        letters = script > -2
-        # within the state of single-language scripts the word's own script names it; a word without letters takes the last one
-        seen = np.maximum.accumulate(np.where(script >= 0, np.arange(len(script)), -1))
-        ahead = np.full(len(script), len(script))
+        letters = script >= 0
+        # within the last state the word's own script names it; a word without letters takes the one before it, or else after it
+        tags = states
         if len(script):
-            ahead = np.minimum.accumulate(np.where(script >= 0, np.arange(len(script)), len(script))[::-1])[::-1]
-        near = np.where((seen >= 0) & (owner[np.maximum(seen, 0)] == owner), seen, np.minimum(ahead, max(0, len(script) - 1)))
-        tags = np.where(states < k, states, np.where(script[near] >= 0, k + script[near], und)) if len(script) else states
-        if not k:
-            tags = np.where(tags >= k, tags, und)
+            own = letters & alone[np.maximum(script, 0)]
+            place = np.arange(len(script))
+            seen = np.maximum.accumulate(np.where(own, place, -1))
+            ahead = np.minimum.accumulate(np.where(own, place, len(script) - 1)[::-1])[::-1]
+            near = np.where((seen >= 0) & (owner[np.maximum(seen, 0)] == owner), seen, ahead)
+            tags = np.where(states < k, states, np.where(own[near], stands[np.maximum(script[near], 0)], und))
         some = np.bincount(owner, weights=letters, minlength=n) > 0
         tags = np.where(some[owner], tags, und)
-        if not k:
-            tags = np.where(script == -1, und, tags)
         votes = np.bincount((owner * len(names) + tags)[letters], minlength=n * len(names)).reshape(n, len(names))
         main = votes.argmax(1)
         total = votes.sum(1)

@@ -5,9 +5,12 @@ the product of the pieces' probabilities. No piece crosses a space, so the sum
 factorises over words; each distinct word of an Arrow chunk is scored once, by
 a log-space forward recursion that runs over all words of the chunk together.
 Texts never leave their partition. What is gathered from the whole corpus is
-every document's score, for its exact rank within its language: rows go to
-(language, score bin), counts by bin give each bin's first rank, and the rank
-inside a bin is a window over that bin alone.
+every document's score, for its exact rank within its language: distinct scores
+with their counts are sorted by range, and running counts give the ranks.
+
+The pieces' probabilities are the vocabulary's own where it is a unigram model.
+The file at hand is a BPE model, whose scores are merge ranks: these are turned
+into a Zipf law (pieces.from_scores), which is an assumption and not trained.
 
 Defined results: a null or empty text has log_prob 0, bits_per_char null and no
 rank (bucket null). A repeated row gives a repeated row, with the same rank; equal scores
@@ -138,7 +141,8 @@ def log_probs(texts: pa.Array, lattice: Lattice) -> np.ndarray:
         words = _base.by_space(part)
         marked = pa.compute.binary_join_element_wise(pieces.SPACE, words.unique, "")
         per = lattice.score_words(marked)
-        got = _base.sums(per[words.index], words.starts)
+        # added up from 0 for each text, so that equal texts have equal scores wherever they are
+        got = np.bincount(words.owner(), weights=per[words.index], minlength=len(part))
         got[pa.compute.binary_length(part).to_numpy(zero_copy_only=False) == 0] = 0.0
         out.append(got)
     return np.concatenate(out)
@@ -154,7 +158,7 @@ def log_prob(text: Column | str, directory: str = _base.TOKENIZER_DIR, name: str
     return run(text)
 
 
-def score(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bins_per_bit: int = 256) -> DataFrame:
+def score(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_chars, log_prob, bits_per_char, lang_rank, lang_pct, bucket).
 
     lang_rank counts from 1, the most probable text of a language first;
@@ -164,21 +168,22 @@ def score(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pie
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     d = d.select("doc_id", "lang", n.alias("n_chars"), log_prob("text", directory, name).alias("log_prob"))
     bits = F.when(F.col("n_chars") > 0, -F.col("log_prob") / F.lit(math.log(2)) / F.col("n_chars"))
-    d = _base.materialize(d.withColumn("bits_per_char", bits), "lm_score").withColumn("bin", F.floor(F.col("bits_per_char") * bins_per_bit))
+    d = _base.materialize(d.withColumn("bits_per_char", bits), "lm_score")
     some = d.where("bits_per_char is not null")
-    counts = some.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("in_bin"))
-    by_lang = Window.partitionBy("lang")
-    counts = counts.select(
-        F.col("lang").alias("l"), F.col("bin").alias("b"),
-        (F.sum("in_bin").over(by_lang.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bin")).alias("before"),
-        F.sum("in_bin").over(by_lang).alias("in_lang"),
-    )
-    ranked = some.withColumn("r", F.rank().over(Window.partitionBy("lang", "bin").orderBy("bits_per_char")))
-    ranked = ranked.join(counts, ranked.lang.eqNullSafe(counts.l) & (ranked.bin == counts.b))
-    rank = (F.col("before") + F.col("r")).cast("long")
+    # equal scores are counted before they are shuffled, and stored by range, so that ranges give the ranks of the next
+    values = some.groupBy("lang", "bits_per_char").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("lang", "bits_per_char").withColumn("range", F.spark_partition_id())
+    values = _base.materialize(values, "score_values")
+    ranges, by_lang, upto = values.groupBy("lang", "range").agg(F.sum("c").alias("n")), Window.partitionBy("lang"), lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.select("lang", "range", (F.sum("n").over(upto(by_lang.orderBy("range"))) - F.col("n")).alias("before"), F.sum("n").over(by_lang).alias("in_lang"))
+    ranges = ranges.withColumnRenamed("lang", "of_lang").withColumnRenamed("range", "of_range")
+    values = values.join(ranges, values.lang.eqNullSafe(ranges.of_lang) & (values.range == ranges.of_range))
+    rank = F.col("before") + F.sum("c").over(upto(Window.partitionBy("lang", "range").orderBy("bits_per_char"))) - F.col("c") + 1
+    values = values.select(F.col("lang").alias("l"), F.col("bits_per_char").alias("b"), rank.cast("long").alias("lang_rank"), "in_lang")
+    ranked = some.join(values, some.lang.eqNullSafe(values.l) & (some.bits_per_char == values.b))
+    rank = F.col("lang_rank")
     pct = F.when(F.col("in_lang") > 1, (rank - 1) / (F.col("in_lang") - 1)).otherwise(F.lit(0.0))
     names = ["doc_id", "lang", "n_chars", "log_prob", "bits_per_char"]
-    ranked = ranked.select(*names, rank.alias("lang_rank"), pct.alias("lang_pct"))
+    ranked = ranked.select(*names, rank, pct.alias("lang_pct"))
     none = d.where("bits_per_char is null").select(*names, F.lit(None).cast("long").alias("lang_rank"), F.lit(None).cast("double").alias("lang_pct"))
     third = F.when(F.col("lang_pct") < 1 / 3, "head").when(F.col("lang_pct") < 2 / 3, "middle").when(F.col("lang_pct").isNotNull(), "tail")
     return ranked.unionByName(none).withColumn("bucket", third)

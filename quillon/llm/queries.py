@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import _base, chat, exact_dedup, fertility, lang_id, lm_score, near_dedup, packing, piece_codec, quality, token_file
@@ -55,6 +54,8 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline  # lies beside the package and imports it
+
     ops = (op1_lm_score, op2_near_dedup, op3_piece_codec, op4_chat_format, op5_packing, op6_exact_dedup, op7_quality, op8_fertility, op9_token_file, op10_lang_id)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 

@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from quillon.llm import _base, pieces, tokens
 
 MOST_CHARS = 200
-CHUNK_IDS = 1 << 20
-CHUNK_BYTES = 8 << 20
+CHUNK_IDS = 1 << 18
+CHUNK_BYTES = 3 << 20
 BROADCAST_PIECES = 1_000_000
 #: How many distinct words a unit gathers, and how many go back together, before they are passed on.
 HELD_WORDS, PACKED_WORDS = 1_000_000, 200_000
@@ -308,8 +308,11 @@ def _unit_words(folder: str, unit: int) -> tuple[pa.Array, pa.Array]:
     return pa.concat_arrays(whole["word"].chunks), pa.concat_arrays(whole["ids"].chunks)
 
 
-def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, vocabulary: pieces.Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for each row. The words are encoded at once, the rows when the result is computed."""
+def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, vocabulary: pieces.Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row. The words are encoded at once, the rows when the result is computed.
+
+    With ``back`` there is a column ``text`` too: the ids decoded again, as decode does, without a second Python worker for each task.
+    """
     voc = vocabulary or pieces.load(directory, name)
     d = _base.pick(docs, doc_id=id_col, text=text_col)
     folder = _base.new_path(d.sparkSession, "unit_words")
@@ -317,7 +320,8 @@ def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pi
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = d.mapInArrow(_listed(voc.cut), "unit int, word string").repartition(n, "word").groupBy("word").agg(F.collect_list("unit").alias("units"))
     encode_words(words, voc).mapInArrow(_packed, "unit int, words binary").repartition("unit").write.partitionBy("unit").parquet(folder)
-    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("text", T.StringType())] if back else [])])
+    spelt = _spellings(voc)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
@@ -329,7 +333,8 @@ def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pi
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(rows.column("text").is_null().to_numpy(zero_copy_only=False), False))
-                yield pa.record_batch([rows.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+                yield pa.record_batch([rows.column("doc_id"), lists, *([_decode(lists, *spelt)] if back else [])], names=schema.names)
         known = None
         _base.trim()
 
@@ -338,9 +343,16 @@ def encode(docs: DataFrame, directory: str = _base.TOKENIZER_DIR, name: str = pi
 
 def decode_ids(lists: pa.Array, voc: pieces.Vocabulary) -> pa.Array:
     """Each list's text, without the space of its first word; null for null. Bytes that aren't UTF-8 are replaced."""
-    size = np.fromiter(map(len, voc.texts), np.int64, len(voc.texts))
+    return _decode(lists, *_spellings(voc))
+
+
+def _spellings(voc: pieces.Vocabulary) -> tuple[bytes, np.ndarray]:
+    return b"".join(voc.texts), np.fromiter(map(len, voc.texts), np.int64, len(voc.texts))
+
+
+def _decode(lists: pa.Array, spelt: bytes, size: np.ndarray) -> pa.Array:
     first = np.cumsum(size) - size
-    pool = np.frombuffer(b"".join(voc.texts), np.uint8)
+    pool = np.frombuffer(spelt, np.uint8)
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     texts: list[str | None] = []
     at = 0
@@ -358,9 +370,12 @@ def decode_ids(lists: pa.Array, voc: pieces.Vocabulary) -> pa.Array:
 
 
 def decoded(ids: Column | str, directory: str = _base.TOKENIZER_DIR, name: str = pieces.PIECE_FILE, vocabulary: pieces.Vocabulary | None = None) -> Column:
+    # workers get the pieces' bytes alone: reading the file in each would take many times as much memory
+    spelt = _spellings(vocabulary or pieces.load(directory, name))
+
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        return decode_ids(lists, vocabulary or pieces.load(directory, name))
+        return _decode(lists, *spelt)
 
     return run(ids)
 

@@ -22,7 +22,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.decode(piece_codec.encode(_documents(spark, sf_dir)))
+    return piece_codec.encode(_documents(spark, sf_dir), back=True)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

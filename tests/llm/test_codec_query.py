@@ -11,6 +11,8 @@ def test_query_decodes_all_texts(spark):
     rows = queries.op3_piece_codec(spark, dir_).collect()
     assert sorted((r["doc_id"], r["text"]) for r in rows) == want
     assert all(r["ids"] for r in rows if r["text"])
+    again = piece_codec.decode(spark.createDataFrame([(r["doc_id"], r["ids"]) for r in rows[:50]], "doc_id long, ids array<int>"))
+    assert {r["doc_id"]: r["text"] for r in again.collect()} == {r["doc_id"]: r["text"] for r in rows[:50]}
 
 
 def test_decode_in_chunks(monkeypatch):

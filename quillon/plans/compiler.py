@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import UnsupportedFilterPredicate
-from quillon.functions.analysis import terms as analyze
 from quillon.functions.scoring import FLOAT_EPSILON, Scorer, saturate
 from quillon.plans.filters import NO_FILTER, Slots, fields_of
 from quillon.plans.program import And, ConstantScore, ExecutionPlan, ExternalFilter, Filter, Not, Or, Phrase, Term
@@ -28,29 +25,19 @@ class Compiled:
     leaves: DataFrame
 
 
-def _holds(words: tuple[str, ...], slop: int):
-    """Whether tokens hold a phrase: from each first word on, every next word is taken as early as it comes."""
+def _holds(toks: Column, words: tuple[str, ...], slop: int) -> Column:
+    """Whether tokens hold a phrase: from each first word on, every next word is taken as early as it comes within the slop."""
 
-    @F.arrow_udf("boolean")
-    def run(toks: pa.Array) -> pa.Array:
-        out = []
-        for row in toks.to_pylist():
-            places = [[i for i, t in enumerate(row or ()) if t == w] for w in words]
-            found = False
-            for begin in places[0]:
-                end = begin
-                for at in places[1:]:
-                    k = bisect.bisect_right(at, end)
-                    end = at[k] if k < len(at) else None
-                    if end is None:
-                        break
-                if end is not None and end - begin - (len(words) - 1) <= slop:
-                    found = True
-                    break
-            out.append(found)
-        return pa.array(out, pa.bool_())
+    def from_(begin: Column) -> Column:
+        end = begin
+        for w in words[1:]:
+            # a place within the next slop + 1 tokens; null where there is none
+            ahead = F.array_position(F.slice(toks, end + 2, slop + 1), w).cast("int")
+            end = end + F.nullif(ahead, F.lit(0))
+        return F.coalesce(end - begin - (len(words) - 1) <= slop, F.lit(False))
 
-    return run
+    begins = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i) == words[0])
+    return F.exists(F.when(F.size(toks) > 0, begins), from_)
 
 
 class Compiler:
@@ -116,12 +103,11 @@ class Compiler:
     def _phrase(self, field_id: int, words: tuple[str, ...], slop: int) -> DataFrame:
         """Documents where each word follows the one before with at most ``slop`` other tokens in all; the score is the words' sum.
 
-        Positions aren't stored: documents that hold all the words are found
-        from the postings, and only their texts are read again.
+        Documents that hold all the words are found from the postings; the
+        order of the words is looked up in the stored tokens of these alone.
         """
-        texts = self.index.texts.get(field_id)
-        if texts is None:
-            raise UnsupportedFilterPredicate("phrases need Index.texts")
+        if self.index.tokens is None:
+            raise UnsupportedFilterPredicate("phrases need Index.tokens")
         index, distinct = self.index, tuple(dict.fromkeys(words))
         df = index.dictionary([(field_id, w) for w in distinct]) if self.scorer else {}
         score = F.lit(0.0)
@@ -130,8 +116,8 @@ class Compiler:
             score = F.when(F.col("term") == w, one).otherwise(score)
         found = index.postings.where((F.col("field_id") == field_id) & F.col("term").isin(list(distinct)))
         both = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s")).where(F.col("n") == len(distinct))
-        toks = texts.select(F.col("doc_id"), analyze(F.col("text"), index.analyzers.get(field_id)).alias("toks")).join(both, "doc_id")
-        return toks.where(_holds(words, slop)(F.col("toks"))).select("doc_id", "s")
+        toks = index.tokens.where(F.col("field_id") == field_id).select("doc_id", "toks").join(both, "doc_id")
+        return toks.where(_holds(F.col("toks"), words, slop)).select("doc_id", "s")
 
     # -- expressions over one document --
 

@@ -5,7 +5,9 @@ postings(field_id, term, doc_id, tf, dl), terms(field_id, term, df),
 field_stats(field_id, doc_count, total_terms). A stored index keeps postings
 partitioned by field and sorted by term within files, so a query's terms are
 found by row-group statistics. Lengths ride with the postings: a leaf is
-scored without a join.
+scored without a join. tokens(doc_id, field_id, toks, dl) is what analysis
+gave: it is written first, lengths and postings are derived from it, and
+phrases are looked for in it.
 """
 
 from __future__ import annotations
@@ -62,8 +64,8 @@ class Index:
     block_size: int = BLOCK_SIZE
     stored_terms: DataFrame | None = None
     known: dict | None = None
-    #: (doc_id, text) by field, which phrases read again; a stored index doesn't hold them.
-    texts: dict[int, DataFrame] = field(default_factory=dict)
+    #: (doc_id, field_id, toks, dl): the analysed terms in order.
+    tokens: DataFrame | None = None
 
     # -- statistics, small enough for the driver: one row a field --
 
@@ -140,13 +142,25 @@ class Index:
         first = self.postings.groupBy("field_id", "term").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("df"))
         return numbered(first, [F.col("first_doc"), F.col("field_id"), F.col("term")], "term_id").drop("first_doc")
 
+    def term_texts(self, ids: Sequence[int]) -> dict[int, tuple[int, str]]:
+        """(field_id, term) of those term ids that exist."""
+        return {r["term_id"]: (r["field_id"], r["term"]) for r in self.term_ids().where(F.col("term_id").isin(list(ids))).collect()}
+
     # -- storage --
 
     def save(self, path: str) -> Index:
         """Write the tables and statistics, and open what was written."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
-        ordered = self.postings.repartitionByRange("field_id", "term", "doc_id").sortWithinPartitions("field_id", "term", "doc_id")
+        postings = self.postings
+        if self.tokens is not None:
+            # analysis costs most: it runs once
+            self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+            analysed = self.spark.read.schema(self.tokens.schema).parquet(f"{path}/tokens")
+            analysed.select("doc_id", "field_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_lengths")
+            postings = stored(postings_of(analysed), "postings")
+        else:
+            self.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
+        ordered = postings.repartitionByRange("field_id", "term", "doc_id").sortWithinPartitions("field_id", "term", "doc_id")
         ordered.write.mode("overwrite").partitionBy("field_id").parquet(f"{path}/postings")
         written = _read_postings(self.spark, path, self.postings.schema)
         found = written.groupBy("field_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -160,12 +174,10 @@ class Index:
         meta = {
             "documents": self.spark.read.parquet(f"{path}/docs").count(),
             "fields": {r["field_id"]: [r["n"], r["t"]] for r in lengths.collect()},
-            "aliases": self.aliases, "block_size": self.block_size, "analyzers": specs,
+            "aliases": self.aliases, "block_size": self.block_size, "analyzers": specs, "tokens": self.tokens is not None,
         }
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-        opened = Index.open(self.spark, path, self.analyzers)
-        opened.texts = self.texts
-        return opened
+        return Index.open(self.spark, path, self.analyzers)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, analyzers: FieldAnalyzers | None = None) -> Index:
@@ -173,7 +185,7 @@ class Index:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         if analyzers is None:
             analyzers = FieldAnalyzers({int(f): AnalyzerSpec(tuple(NormalizerSpec(*n) for n in specs)) for f, specs in meta["analyzers"].items()})
-        return cls(spark, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/doc_lengths"), _read_postings(spark, path), analyzers, meta["aliases"], meta["block_size"], spark.read.parquet(f"{path}/terms"), meta)
+        return cls(spark, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/doc_lengths"), _read_postings(spark, path), analyzers, meta["aliases"], meta["block_size"], spark.read.parquet(f"{path}/terms"), meta, spark.read.parquet(f"{path}/tokens") if meta["tokens"] else None)
 
 
 def _read_postings(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -181,6 +193,13 @@ def _read_postings(spark: SparkSession, path: str, schema: T.StructType | None =
     return reader.parquet(f"{path}/postings").select("field_id", "term", "doc_id", "tf", "dl")
 
 
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """(field_id, term, doc_id, tf, dl) of (doc_id, field_id, toks, dl)."""
+    counted = tokens.select("field_id", "doc_id", "dl", F.explode("toks").alias("term")).groupBy("field_id", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("n"))
+    fits = F.when(F.col("n") <= INT_MAX, F.col("n").cast("int")).otherwise(F.raise_error(F.lit(f"{ValueOutOfRange.__name__}: term frequency")))
+    return counted.select("field_id", "term", "doc_id", fits.cast("int").alias("tf"), "dl")
+
+
 class IndexBuilder:
     """Analyzers by field, names of fields, then a DataFrame of documents."""
 
@@ -210,7 +229,7 @@ class IndexBuilder:
             again = docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()
             if again:
                 raise DuplicateDocument(again[0]["doc_id"])
-        parts, texts = [], {}
+        parts = []
         for f, name in sorted(fields.items()):
             text, spec = df[name], self.analyzers.get(f)
             if isinstance(df.schema[name].dataType, T.ArrayType):
@@ -218,7 +237,6 @@ class IndexBuilder:
                 one = each.where("t is not null").select("doc_id", terms(F.col("t"), spec).alias("toks"))
                 one = one.groupBy("doc_id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
             else:
-                texts[f] = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), text.alias("text"))
                 one = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), terms(text, spec).alias("toks"))
             parts.append(one.select("doc_id", F.lit(f).alias("field_id"), "toks", F.size("toks").alias("dl")))
         empty = df.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("field_id", T.IntegerType()), T.StructField("toks", T.ArrayType(T.StringType())), T.StructField("dl", T.IntegerType())]))
@@ -226,7 +244,4 @@ class IndexBuilder:
         for p in parts[1:]:
             rows = rows.unionByName(p)
         lengths = rows.select("doc_id", "field_id", "dl")
-        counted = rows.select("field_id", "doc_id", "dl", F.explode("toks").alias("term")).groupBy("field_id", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("n"))
-        fits = F.when(F.col("n") <= INT_MAX, F.col("n").cast("int")).otherwise(F.raise_error(F.lit(f"{ValueOutOfRange.__name__}: term frequency")))
-        postings = counted.select("field_id", "term", "doc_id", fits.cast("int").alias("tf"), "dl")
-        return Index(df.sparkSession, docs, lengths, postings, self.analyzers, dict(self.aliases), self.block_size, texts=texts)
+        return Index(df.sparkSession, docs, lengths, postings_of(rows), self.analyzers, dict(self.aliases), self.block_size, tokens=rows)

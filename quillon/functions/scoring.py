@@ -22,12 +22,24 @@ def score(value: float) -> float:
     return float(value)
 
 
+#: The scores that have a name.
+ZERO, ONE, MIN, MAX = 0.0, 1.0, -FLOAT_MAX, FLOAT_MAX
+
+
 def saturated(value: float) -> float:
     if math.isnan(value):
         return 0.0
     return max(-FLOAT_MAX, min(FLOAT_MAX, value))
 
 
+def added(a: float, b: float) -> float:
+    return saturated(a + b)
+
+
+def subtracted(a: float, b: float) -> float:
+    return saturated(a - b)
+
+
 def saturate(c: Column) -> Column:
     """NaN becomes 0, what is out of a float's range its ends."""
     return F.when(F.isnan(c), F.lit(0.0)).when(c > FLOAT_MAX, F.lit(FLOAT_MAX)).when(c < -FLOAT_MAX, F.lit(-FLOAT_MAX)).otherwise(c)

@@ -23,6 +23,29 @@ def hit_order() -> list:
     return [F.desc("score"), F.desc("doc_id")]
 
 
+@dataclass(frozen=True)
+class ScoredHit:
+    """A hit on the driver. Hits are ordered as hit_order orders rows: ``sorted`` gives the worst first."""
+
+    doc_id: int
+    score: float
+
+    @classmethod
+    def perfect(cls, doc_id: int) -> ScoredHit:
+        return cls(doc_id, 1.0)
+
+    @classmethod
+    def zero(cls, doc_id: int) -> ScoredHit:
+        return cls(doc_id, 0.0)
+
+    @property
+    def is_zero(self) -> bool:
+        return self.score == 0
+
+    def __lt__(self, other: ScoredHit) -> bool:
+        return (self.score, self.doc_id) < (other.score, other.doc_id)
+
+
 @dataclass
 class TopK:
     """The k best hits; the plan is TakeOrderedAndProject, never a full sort."""

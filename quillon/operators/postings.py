@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from enum import Enum
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,31 @@ def term_freq(found: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+class BlockState(Enum):
+    """What is known of the block that a cursor is in."""
+
+    UNSUPPORTED = "unsupported"
+    EXHAUSTED = "exhausted"
+    READY = "ready"
+
+
+@dataclass(frozen=True)
+class CurrentBlock:
+    state: BlockState
+    end_doc: int | None = None
+    max_term_freq: int | None = None
+
+
+def current_block(states: DataFrame | None, term: str, at: int | None) -> CurrentBlock:
+    """The block of a term's cursor at document ``at``: the first that doesn't end before it. Without a table of states there is none to tell of; None is past the end."""
+    if states is None:
+        return CurrentBlock(BlockState.UNSUPPORTED)
+    if at is None:
+        return CurrentBlock(BlockState.EXHAUSTED)
+    found = states.where((F.col("term") == term) & (F.col("end_doc") >= at)).orderBy("end_doc").first()
+    return CurrentBlock(BlockState.READY, found["end_doc"], found["max_term_freq"]) if found else CurrentBlock(BlockState.EXHAUSTED)
+
+
 def block_states(rows: DataFrame, size: int = 1) -> DataFrame:
     """(term, block_no, end_doc, max_term_freq); a cursor in memory has blocks of one posting."""
     by = Window.partitionBy("term").orderBy("doc_id")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quillon.engine import Engine
 from quillon.functions.analysis import AnalyzerSpec, FieldAnalyzers, terms, tokens
+from quillon.functions import scoring
 from quillon.functions.scoring import Bm25FScorer, Bm25Params, Bm25Scorer, CombinedScorer, bm25f_column
 from quillon.operators import facets, fusion, postings
 from quillon.operators.collect import topk_with_count
 from quillon.plans import ast
 from quillon.plans.filters import AllOf, AnyOf, Eq, In, NotP, Predicate, Range, Slots
-from quillon.plans.program import ConstantScore, ExecutionPlan, Filter, Program
+from quillon.plans.program import ConstantScore, ExecutionPlan, ExternalFilter, Filter, Program
 from quillon.sources.index import Index, IndexBuilder
 from quillon.sources.segment import SegmentView, export
 from quillon.storage import shared_path
@@ -47,6 +48,11 @@ def index_of(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> Ind
     return _BUILT[key]
 
 
+def forget(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> None:
+    """Have the next query build the corpus' index again."""
+    _BUILT.pop((spark.sparkContext.applicationId, sf_dir, corpus), None)
+
+
 # ---- SQL ----
 
 SPACE = r"[\t-\r \x{85}\p{Z}]+"
@@ -121,9 +127,9 @@ def term_dictionary(spark, sf_dir):
     return index_of(spark, sf_dir).terms
 
 
-@query(f"{PART} SELECT term, df FROM f WHERE field_id = 1")
+@query(f"{PART} SELECT field_id, term, df FROM f")
 def document_frequency(spark, sf_dir):
-    return index_of(spark, sf_dir, "part").terms.where("field_id = 1").select("term", "df")
+    return index_of(spark, sf_dir, "part").terms.select("field_id", "term", "df")
 
 
 @query(f"{DOCS} SELECT term, CAST(row_number() OVER (ORDER BY first_doc, term) - 1 AS BIGINT) AS term_id FROM (SELECT term, min(doc_id) AS first_doc FROM p GROUP BY term)")
@@ -162,10 +168,38 @@ def postings_seek(spark, sf_dir):
     return postings.seek_first(index_of(spark, sf_dir).postings, targets).na.fill(-1, ["doc_id"])
 
 
-@query(f"{DOCS} SELECT term, doc_id, tf FROM p")
+PLACED = f"SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '{SPACE}'), lambda x: x <> '') AS l FROM documents)"
+
+
+@query(f"SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM ({PLACED}) GROUP BY term, doc_id")
 def postings_with_positions(spark, sf_dir):
     toks = _read(spark, sf_dir, "documents").select("doc_id", terms(F.col("text"), AnalyzerSpec.default()).alias("terms"))
-    return postings.with_positions(toks).where(F.size("positions") == F.col("tf")).select("term", "doc_id", "tf")
+    return postings.with_positions(toks).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"{DOCS} SELECT term, count(*) AS n, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM p WHERE term IN ('the', 'aich', 'in') GROUP BY term")
+def postings_lists(spark, sf_dir):
+    some = index_of(spark, sf_dir).postings.where(F.col("term").isin("the", "aich", "in")).select("term", "doc_id", "tf")
+    made = postings.lists(some)
+    return made.select("term", F.col("n").cast("long").alias("n"), F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x.doc_id, x.tf)), ",").alias("postings"))
+
+
+@query(f"{DOCS} SELECT doc_id, tf FROM p WHERE term = 'the' AND doc_id >= 300")
+def term_cursor(spark, sf_dir):
+    found = postings.cursor(index_of(spark, sf_dir).postings, "the", 300)
+    return found.select("doc_id", postings.term_freq(F.col("tf")).alias("tf"))
+
+
+@query(f"{DOCS} SELECT term, CAST(b AS BIGINT) AS block_no, max(doc_id) AS end_doc, max(tf) AS max_term_freq FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 3 AS b FROM p WHERE term IN ('the', 'aich')) GROUP BY term, b")
+def block_states(spark, sf_dir):
+    some = index_of(spark, sf_dir).postings.where(F.col("term").isin("the", "aich"))
+    return postings.block_states(some, 3).withColumn("block_no", F.col("block_no").cast("long"))
+
+
+@query(f"{DOCS} SELECT doc_id, printf('%.4f', s) AS score FROM sc WHERE term = 'aich'")
+def score_text(spark, sf_dir):
+    engine = Engine(index_of(spark, sf_dir))
+    return engine.hits(engine.plan("aich"), Bm25Scorer()).select("doc_id", scoring.score_text(F.col("score")).alias("score"))
 
 
 @query("SELECT o_custkey AS doc_id, o_orderstatus AS term, arg_max(o_orderkey % 7, o_orderkey) AS tf FROM orders GROUP BY o_custkey, o_orderstatus")
@@ -325,6 +359,12 @@ def block_max_topk(spark, sf_dir):
     return _rounded(engine.block_max(root, 10)) if getattr(root, "term", None) else _rounded(engine.search("the", 10))
 
 
+@query(f"SELECT DISTINCT a.doc_id FROM ({PLACED}) a JOIN ({PLACED}) b ON a.doc_id = b.doc_id AND b.term = 'the' AND b.i > a.i AND b.i - a.i - 1 <= 2 WHERE a.term = 'in'")
+def phrase_slop(spark, sf_dir):
+    engine = Engine(index_of(spark, sf_dir))
+    return engine.hits(engine.plan(ast.phrase_with_slop(["in", "the"], 2)))
+
+
 @query(f"{DOCS}, s2 AS (SELECT doc_id, ' ' || string_agg(term, ' ' ORDER BY i) || ' ' AS t FROM (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '{SPACE}'), lambda x: x <> '') AS l FROM documents)) GROUP BY doc_id) SELECT doc_id FROM s2 WHERE contains(t, ' in the ')")
 def phrase_match(spark, sf_dir):
     engine = Engine(index_of(spark, sf_dir))
@@ -350,6 +390,24 @@ def external_filter(spark, sf_dir):
     return _rounded(Engine(index).search("the", 10, filters=Slots({1: F.col("lang") == "en"})))
 
 
+@query(_where("lang = 'en'"))
+def external_filter_unscored(spark, sf_dir):
+    engine = Engine(index_of(spark, sf_dir))
+    slots = Slots({1: F.col("lang") == "en"})
+    return engine.hits(engine.plan("in", slots), None, slots)
+
+
+@query(f"{DOCS} SELECT p.doc_id FROM p JOIN documents d ON p.doc_id = d.doc_id WHERE term = 'in' AND lang = 'en' UNION {_has('aich')}")
+def filter_at_its_node(spark, sf_dir):
+    engine = Engine(index_of(spark, sf_dir))
+    p = engine.plan("in OR aich").program
+    at = next(i for i, n in enumerate(p.nodes) if getattr(n, "term", None) == "in")
+    root = p.nodes[p.root]
+    nodes = list(p.nodes) + [ExternalFilter(at, 1)]
+    nodes[p.root] = type(root)(tuple(len(nodes) - 1 if c == at else c for c in root.children))
+    return engine.hits(ExecutionPlan.of(Program(tuple(nodes), p.root)), None, Slots({1: F.col("lang") == "en"}))
+
+
 @query(_top("term = 'the' AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 300) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", 10))
 def filter_chain(spark, sf_dir):
     allowed = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

@@ -114,6 +114,25 @@ class SegmentView:
         return self._data[start:end]
 
 
+def decode(view: SegmentView) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]], list[tuple[int, list[tuple[int, int]]]]]:
+    """What encode was given: (term_id, field, term), (field, documents, tokens) and (term_id, [(doc, tf)])."""
+    body = view.section_bytes(SectionKind.TERM_DICTIONARY)
+    terms, at = [], 4
+    for _ in range(struct.unpack_from("<I", body)[0]):
+        f, term_id, size = struct.unpack_from("<III", body, at)
+        terms.append((term_id, f, body[at + 12 : at + 12 + size].decode()))
+        at += 12 + size
+    body = view.section_bytes(SectionKind.FIELD_METADATA)
+    fields = [struct.unpack_from("<III", body, 4 + 12 * i) for i in range(struct.unpack_from("<I", body)[0])]
+    body, payload = view.section_bytes(SectionKind.POSTINGS_METADATA), view.section_bytes(SectionKind.POSTINGS_PAYLOAD)
+    lists = []
+    for i in range(struct.unpack_from("<I", body)[0]):
+        term_id, start, _, count = struct.unpack_from("<IIII", body, 4 + 16 * i)
+        flat = struct.unpack_from(f"<{2 * count}I", payload, start + 4)
+        lists.append((term_id, list(zip(flat[::2], flat[1::2]))))
+    return terms, fields, lists
+
+
 def inspect(files: DataFrame) -> DataFrame:
     """(path, document_count, term_count, field_count, error) of rows that spark.read.format("binaryFile") gives."""
 

@@ -9,6 +9,7 @@ the input, whatever they are called, cannot clash with its own.
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,14 +44,18 @@ def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*[f"c{i}__" for i in range(len(names))]), lambda name: f"c{names.index(name)}__"
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark runs within one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        place = _own_folder(spark.sparkContext.applicationId)
     return place.rstrip("/")
 
 

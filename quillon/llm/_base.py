@@ -8,6 +8,7 @@ the input, whatever they are called, cannot clash with its own.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER_DIR = "/opt/tokenizers"
 CHUNK_BYTES = 4 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LIBC = ctypes.CDLL(None)
 
 
@@ -63,11 +65,23 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}/{tag}"
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Executions begun within delete their shuffle files at their end; else these stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends, lost executors don't matter."""
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends, lost executors don't matter, and its shuffles take no disk any more."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,8 @@ most one each. For each of the 21 pairs of segments a key of 24 bits is made
 in two roles: codeword list of the first segment with the nearest codeword of
 the second, and the other way round. One role is joined to the other, so such
 a pair is sure to meet; beyond 11 bits it is likely (see recall in the README).
+The keys of three pairs of segments are joined at a time, so that no more than
+a seventh of them lies on disk at once, whatever the number of documents.
 
 A key carries the last 128 bits of the fingerprint: a candidate that differs
 there in more than ``max_distance`` bits differs in as many of the whole, so it
@@ -49,6 +51,7 @@ SEGMENTS, BITS, WIDTH = 7, 256, 23
 MAX_DISTANCE = 40
 GENERATOR = 0xAE3
 PAIRS = tuple(itertools.combinations(range(SEGMENTS), 2))
+PASSES = tuple(PAIRS[i : i + 3] for i in range(0, len(PAIRS), 3))
 CHUNK = 1 << 20
 
 
@@ -134,15 +137,15 @@ def nearest_keys(prints: np.ndarray) -> np.ndarray:
     return np.stack([k << 24 | index[:, i] << 12 | index[:, j] for k, (i, j) in enumerate(PAIRS)], 1)
 
 
-def list_keys(prints: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+def list_keys(prints: np.ndarray, first: bool, pairs: tuple[tuple[int, int], ...] = PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """Keys of one role, one document after another, and how many each has: the codeword list of the
-    first (or else the second) segment of each pair with the nearest codeword of the other."""
+    first (or else the second) segment of each of ``pairs`` with the nearest codeword of the other."""
     index, count = near_codewords(segments(prints))
     held = np.arange(6) < count[:, :, None]
     keys, ok = [], []
-    for k, (i, j) in enumerate(PAIRS):
+    for i, j in pairs:
         one, other = (index[:, i], index[:, j, :1]) if first else (index[:, i, :1], index[:, j])
-        keys.append(k << 24 | one << 12 | other)
+        keys.append(PAIRS.index((i, j)) << 24 | one << 12 | other)
         ok.append(held[:, i if first else j])
     keys, ok = np.concatenate(keys, 1), np.concatenate(ok, 1)
     return keys[ok], ok.sum(1)
@@ -173,13 +176,13 @@ def _nearest(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * len(PAIRS)), pa.array(keys.ravel()))
 
 
-def _listed(first: bool, *lanes: Column) -> Column:
+def _listed(first: bool, of: tuple[tuple[int, int], ...], *lanes: Column) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         prints = _prints((a, b, c, d))
         keys, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(prints), 4096):
-            k, n = list_keys(prints[i : i + 4096], first)
+            k, n = list_keys(prints[i : i + 4096], first, of)
             keys.append(k.astype(np.int32))
             counts.append(n)
         ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
@@ -196,6 +199,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return joined.where(distance <= most).select("x", "y")
 
 
+def _meeting(seen: DataFrame, of: tuple[tuple[int, int], ...], most: int) -> DataFrame:
+    """Pairs (x, y) of different groups that share a key of the pairs of segments ``of`` and differ in at most ``most`` of the check bits."""
+    lanes = [F.col(c) for c in "abcd"]
+    role = lambda first, n: seen.select(F.col("gid").alias(n), F.col("root").alias(f"r{n}"), F.col("c").alias(f"c{n}"), F.col("d").alias(f"d{n}"), F.explode(_listed(first, of, *lanes)).alias("key"))
+    apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
+    close = F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) + F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= most
+    # what has the keys grows with the corpus, so it is sorted at every size
+    return role(True, "x").join(role(False, "y").hint("merge"), "key").where(apart & close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of (x, y) edges; root is the least node that it is connected to.
 
@@ -246,11 +259,11 @@ def _grouped(d: DataFrame, max_distance: int) -> DataFrame:
     stars = near.join(pivot, "key").where("gid != x").select("x", F.col("gid").alias("y")).distinct()
     stars = _base.materialize(_verified(stars, nodes, max_distance), "stars")
     tree = components(stars)
-    seen = nodes.join(tree, nodes.gid == tree.node, "left").select("gid", *lanes, F.coalesce("root", "gid").alias("root"))
+    # a root that the node is itself is left out: zeros take next to no disk
+    seen = nodes.join(tree.where("root != node"), nodes.gid == tree.node, "left").select("gid", *lanes, "root")
     seen = _base.materialize(seen, "seen")
-    role = lambda first, n: seen.select(F.col("gid").alias(n), F.col("root").alias(f"r{n}"), F.col("c").alias(f"c{n}"), F.col("d").alias(f"d{n}"), F.explode(_listed(first, *lanes)).alias("key"))
-    close = (F.col("rx") != F.col("ry")) & (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) + F.bit_count(F.col("dx").bitwiseXOR(F.col("dy"))) <= max_distance)
-    pairs = role(True, "x").join(role(False, "y"), "key").where(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = [_base.materialize(_meeting(seen, of, max_distance), "met") for of in PASSES]
+    pairs = functools.reduce(DataFrame.union, met).distinct()
     tree = components(stars.union(_verified(pairs, nodes, max_distance)))
     rooted = nodes.join(tree, nodes.gid == tree.node, "left").select("bag1", "bag2", "n", "least", F.coalesce("root", "gid").alias("root"))
     rooted = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group_id")), "root").drop("root", "least")

@@ -157,14 +157,15 @@ def _all_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are no duplicates; one of each set of equal rows. Null ids and null texts stay."""
-    found = _base.materialize(_all_duplicates(docs, id_col, text_col), "duplicates")
-    dropped = found.select(F.col("doc_id").alias("dropped__id"), F.col("h1").alias("dropped__h")).distinct()
+    found = _all_duplicates(docs, id_col, text_col).select("doc_id", "h1", F.lit(False).alias("again"))
+    again = digests(docs, id_col, text_col).groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", "h1", F.lit(True).alias("again"))
+    # one table of the rows that don't just stay: texts are shuffled once, and as what is in it grows with the corpus, so at every size
+    marked = _base.materialize(found.union(again).select(F.col("doc_id").alias("marked__id"), F.col("h1").alias("marked__h"), "again").distinct(), "marked")
+    dropped = marked.where("not again").drop("again")
     d, name = _base.plain(docs)
     i, t = name(id_col), name(text_col)
-    kept = d.join(dropped, (d[i] == dropped["dropped__id"]) & (F.xxhash64(d[t]) == dropped["dropped__h"]), "left_anti")
-    again = digests(docs, id_col, text_col).groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("again__id")).distinct()
-    once = kept.join(again, kept[i] == again["again__id"], "left_anti")
-    more = kept.join(again, kept[i] == again["again__id"], "left_semi")
-    # a repeated row goes, but rows of null texts stay
-    more = more.where(F.col(t).isNotNull()).dropDuplicates([i, t]).union(more.where(F.col(t).isNull()))
-    return once.union(more).toDF(*docs.columns)
+    same = (d[i] == F.col("marked__id")) & (F.xxhash64(d[t]) == F.col("marked__h"))
+    once = d.join(marked.hint("merge"), same, "left_anti")
+    # of rows that come again one stays; they are few, or else shuffled once more
+    more = _base.materialize(marked.where("again").drop("again").join(dropped, ["marked__id", "marked__h"], "left_anti"), "again")
+    return once.union(d.where(d[t].isNotNull()).join(more, same, "left_semi").dropDuplicates([i, t])).toDF(*docs.columns)

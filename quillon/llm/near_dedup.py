@@ -276,6 +276,7 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, id_col: str = "d
     Rows are told apart by id and text, so of two texts under one id only the duplicate goes.
     """
     found = _grouped(_base.pick(docs, doc_id=id_col, text=text_col), max_distance).where("group_id != doc_id")
-    dropped = found.select(F.col("doc_id").alias("dropped__id"), F.col("h").alias("dropped__h")).distinct()
+    # written first, so that its shuffles and the texts' aren't on disk together; it grows with the corpus, so it is sorted at every size
+    dropped = _base.materialize(found.select(F.col("doc_id").alias("dropped__id"), F.col("h").alias("dropped__h")).distinct(), "dropped").hint("merge")
     d, name = _base.plain(docs)
-    return d.join(dropped, (d[name(id_col)] == dropped["dropped__id"]) & (F.xxhash64(d[name(text_col)]) == dropped["dropped__h"]), "left_anti").toDF(*docs.columns)
+    return d.join(dropped, (d[name(id_col)] == F.col("dropped__id")) & (F.xxhash64(d[name(text_col)]) == F.col("dropped__h")), "left_anti").toDF(*docs.columns)

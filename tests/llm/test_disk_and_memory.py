@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.llm import _base, near_dedup
+from quillon.llm import _base, exact_dedup, near_dedup
 
 
 def shuffle_files(spark):
@@ -26,3 +26,11 @@ def test_passes_hold_every_key():
         parts = [near_dedup.list_keys(prints, first, of)[0] for of in near_dedup.PASSES]
         assert sorted(np.concatenate(parts).tolist()) == sorted(every.tolist())
         assert max(map(len, parts)) < len(every) / 5
+
+
+def test_texts_are_shuffled_once_to_keep_one(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string")
+    for keep in (exact_dedup.keep_one, near_dedup.keep_one):
+        kept = keep(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1, plan

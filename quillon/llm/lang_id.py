@@ -43,6 +43,8 @@ DEFAULTS = {"Greek": "el", "Cyrillic": "ru", "Armenian": "hy", "Hebrew": "he", "
 LEAST_LETTERS = 0.1
 DIM = 1 << 15
 SHARES = 64
+#: Of the sample, what the driver takes apart at once; its arrays are some 30 times that.
+TRAIN_BYTES = 256 << 10
 RESULT = "struct<lang:string,share:double,n_words:bigint,keep:boolean,spans:array<struct<lang:string,start:int,end:int>>>"
 
 
@@ -93,17 +95,21 @@ def train(docs: DataFrame, max_rows: int = 1200, id_col: str = "doc_id", text_co
     if not rows.num_rows:
         return Model((), np.zeros((DIM, 0), np.float32))
     langs = tuple(sorted(set(rows["lang"].to_pylist())))
-    counts, letters = np.full((DIM, len(langs)), 0.05), np.zeros((len(SCRIPTS), len(langs)))
+    counts, letters = np.zeros((DIM, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
     for i, lang in enumerate(langs):
         texts = rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks()
-        for part in _base.chunks(texts):
+        for part in _base.chunks(texts, TRAIN_BYTES):
             words = _base.by_space(pc.replace_substring_regex(pc.utf8_lower(part), r"\s", " "))
             grams, starts = _grams(words.unique)
             times = np.bincount(words.index, minlength=len(words.unique))
             counts[:, i] += np.bincount(grams, weights=np.repeat(times, np.diff(starts)), minlength=DIM)
             kind = _SCRIPTS[_base.codepoints(part)[0]]
             letters[:, i] += np.bincount(kind[kind >= 0], minlength=len(SCRIPTS))
-    return Model(langs, np.log(counts / counts.sum(0)).astype(np.float32), (letters > 0) & (letters >= LEAST_LETTERS * letters.sum(0)))
+    counts += 0.05
+    model = Model(langs, np.log(counts / counts.sum(0)).astype(np.float32), (letters > 0) & (letters >= LEAST_LETTERS * letters.sum(0)))
+    del rows, texts, part, words, grams, starts, times, kind, counts
+    _base.trim()
+    return model
 
 
 def _script_table() -> np.ndarray:

@@ -194,7 +194,10 @@ def train(docs: DataFrame, max_rows: int = 2000, id_col: str = "doc_id", text_co
         dense.append(repetition(part))
         target += [of[int(p)] for p in rule_votes(part) @ 3 ** np.arange(len(RULES))]
     accuracy = {name: {"bad": float(table[i, 0, 0]), "good": float(table[i, 1, 1])} for i, name in enumerate(RULES)}
-    return Model(fit(rows, np.concatenate(dense), np.array(target)), accuracy, float(prior))
+    model = Model(fit(rows, np.concatenate(dense), np.array(target)), accuracy, float(prior))
+    del texts, part, h, rows, dense
+    _base.trim()
+    return model
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:

@@ -1,9 +1,12 @@
 """What intermediate steps leave on disk and in the driver."""
 
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import _base, exact_dedup, near_dedup
+from quillon.llm import _base, exact_dedup, lang_id, near_dedup
 
 
 def shuffle_files(spark):
@@ -34,3 +37,21 @@ def test_texts_are_shuffled_once_to_keep_one(spark):
         kept = keep(docs)
         plan = kept._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("SortMergeJoin") == 1, plan
+
+
+@pytest.mark.parametrize("size", [lang_id.TRAIN_BYTES, 4 << 20])
+def test_language_training_in_parts(spark, size, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(map("".join, rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (1000, 6)))), "en") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(lang_id, "TRAIN_BYTES", size)
+    freed = []
+    monkeypatch.setattr(_base, "trim", lambda: freed.append(1))
+    tracemalloc.start()
+    try:
+        model = lang_id.train(d)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.langs == ("en",) and freed
+    assert (peak < 60e6) == (size < 1 << 20), peak

@@ -1,7 +1,7 @@
 """Text analysis: white-space tokens, canonical forms and case mapping.
 
-``normalize`` defines the results. Columns take a built-in route for texts on
-which built-ins are known to agree, and send only the others to Python.
+``normalize`` defines the results. Columns take a built-in route for analyzers
+on which built-ins are known to agree, and send the texts of others to Python.
 """
 
 from __future__ import annotations
@@ -145,7 +145,18 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(text, JAVA_SPACE), lambda x: x != "")
 
 
+#: Those that str.split() takes for white space beside White_Space.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def _split(text: str) -> list[str]:
+    return words(text) if _SEPARATORS.search(text) else text.split()
+
+
 def _python_terms(spec: AnalyzerSpec):
+    # canonical forms and case leave white space and what is none as they are, so a whole text is normalised before it is split; NFKC makes spaces
+    at_once = spec.builtin and all(n.form != "NFKC" for n in spec.normalizers)
+
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
         seen: dict[str, str] = {}
@@ -154,6 +165,9 @@ def _python_terms(spec: AnalyzerSpec):
             if text is None:
                 out.append(None)
                 continue
+            if at_once:
+                out.append(_split(spec.normalize(text)))
+                continue
             row = []
             for t in spec.tokenizer.tokenize(text):
                 if t.text not in seen:
@@ -168,20 +182,15 @@ def _python_terms(spec: AnalyzerSpec):
 def terms(text: Column, spec: AnalyzerSpec) -> Column:
     """Normalised tokens of a text, in order; null for null.
 
-    A Python UDF within a condition isn't skipped, so it is given null for the
-    texts that built-ins settle, and one scan serves both routes.
+    With a canonical form or case folding all texts go to Python, which costs
+    less than built-ins' splitting by regular expressions.
     """
-    if not spec.builtin:
+    if not spec.builtin or any(n.odd for n in spec.normalizers):
         return _python_terms(spec)(text)
     plain = text
-    odd = [n.odd for n in spec.normalizers if n.odd]
     for n in spec.normalizers:
         plain = F.lower(plain) if n.case != "none" else plain
-    fast = tokens(plain)
-    if not odd:
-        return fast
-    needs = text.rlike("|".join(dict.fromkeys(odd)))
-    return F.coalesce(_python_terms(spec)(F.when(needs, text)), fast)
+    return tokens(plain)
 
 
 def offset_tokens(text: Column | str, spec: AnalyzerSpec | None = None) -> Column:

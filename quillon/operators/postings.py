@@ -7,8 +7,11 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillon.functions.grouping import positions
+
 
 def upsert(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """The last posting of each (term, doc_id) by ``seq``: adding an id again replaces it."""
@@ -75,6 +78,18 @@ def block_states(rows: DataFrame, size: int = 1) -> DataFrame:
 
 
 def with_positions(tokens: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
-    """(term, doc_id, tf, positions) from arrays of terms."""
-    each = tokens.select(F.col(id_col).alias("doc_id"), F.posexplode(terms_col).alias("position", "term"))
-    return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """(term, doc_id, tf, positions) from arrays of terms.
+
+    A row has all tokens of its document and is grouped where it is read; only
+    the rows of ids that occur again are shuffled.
+    """
+    rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(terms_col).alias("terms"))
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    repeated = bool(again.limit(1).collect())
+    made = T.StructType([T.StructField("term", T.StringType()), rows.schema["doc_id"], T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    out = (rows.join(again, same, "left_anti") if repeated else rows).mapInArrow(positions, made)
+    if not repeated:
+        return out
+    each = rows.join(again, same, "left_semi").select("doc_id", F.posexplode("terms").alias("position", "term"))
+    return out.unionByName(each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")))

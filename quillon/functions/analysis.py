@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import NamedTuple, Protocol
 
@@ -153,28 +154,29 @@ def _split(text: str) -> list[str]:
     return words(text) if _SEPARATORS.search(text) else text.split()
 
 
-def _python_terms(spec: AnalyzerSpec):
+def _analysed(spec: AnalyzerSpec) -> Callable[[str], list[str]]:
+    """The terms of one text."""
     # canonical forms and case leave white space and what is none as they are, so a whole text is normalised before it is split; NFKC makes spaces
-    at_once = spec.builtin and all(n.form != "NFKC" for n in spec.normalizers)
+    if spec.builtin and all(n.form != "NFKC" for n in spec.normalizers):
+        return lambda text: _split(spec.normalize(text))
+    seen: dict[str, str] = {}
+
+    def each(text: str) -> list[str]:
+        row = []
+        for t in spec.tokenizer.tokenize(text):
+            if t.text not in seen:
+                seen[t.text] = spec.normalize(t.text)
+            row.append(seen[t.text])
+        return row
+
+    return each
 
+
+def _python_terms(spec: AnalyzerSpec):
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        seen: dict[str, str] = {}
-        out = []
-        for text in texts.to_pylist():
-            if text is None:
-                out.append(None)
-                continue
-            if at_once:
-                out.append(_split(spec.normalize(text)))
-                continue
-            row = []
-            for t in spec.tokenizer.tokenize(text):
-                if t.text not in seen:
-                    seen[t.text] = spec.normalize(t.text)
-                row.append(seen[t.text])
-            out.append(row)
-        return pa.array(out, pa.list_(pa.string()))
+        analysed = _analysed(spec)
+        return pa.array([None if text is None else analysed(text) for text in texts.to_pylist()], pa.list_(pa.string()))
 
     return run
 
@@ -193,6 +195,34 @@ def terms(text: Column, spec: AnalyzerSpec) -> Column:
     return tokens(plain)
 
 
+#: Between terms of a joined text: tokens of white space never hold it, those of other tokenizers have it escaped.
+BETWEEN = "\n"
+
+
+def escaped(term: str, spec: AnalyzerSpec) -> str:
+    """A term as it is in a joined text."""
+    return term if spec.builtin else term.replace("\\", "\\\\").replace(BETWEEN, "\\n")
+
+
+def unescaped(term: str) -> str:
+    return re.sub(r"\\(.)", lambda m: BETWEEN if m[1] == "n" else m[1], term)
+
+
+def joined_terms(text: Column, spec: AnalyzerSpec) -> Column:
+    """(toks, dl): the terms of a text, joined, and their number; a string costs far less to store and to send than an array."""
+    if spec.builtin and not any(n.odd for n in spec.normalizers):
+        return F.struct(F.array_join(terms(text, spec), BETWEEN).alias("toks"), F.size(terms(text, spec)).alias("dl"))
+
+    @F.arrow_udf("struct<toks:string,dl:int>")
+    def run(texts: pa.Array) -> pa.Array:
+        analysed = _analysed(spec)
+        rows = [analysed(text) if text is not None else [] for text in texts.to_pylist()]
+        toks = [BETWEEN.join(r if spec.builtin else [escaped(x, spec) for x in r]) for r in rows]
+        return pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(list(map(len, rows)), pa.int32())], ["toks", "dl"])
+
+    return run(text)
+
+
 def offset_tokens(text: Column | str, spec: AnalyzerSpec | None = None) -> Column:
     """Tokens with positions and byte offsets, their texts normalised if a spec is given."""
 

@@ -6,20 +6,24 @@ read: a row for each occurrence, and a shuffle of these, isn't needed.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillon.functions.analysis import BETWEEN, unescaped
+
 #: Tokens that are grouped at once, a document's own at least, and postings in one row of a term.
 TOKENS, POSTINGS = 1 << 21, 128
 
 
 def _slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that none but single rows has over TOKENS tokens."""
+    """Batches cut so that none but single rows has over TOKENS tokens; ``name`` has the tokens or their number."""
     for batch in batches:
-        ends = np.cumsum(_lengths(batch.column(name)))
+        of = batch.column(name)
+        ends = np.cumsum(_lengths(of) if pa.types.is_list(of.type) else of.to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
@@ -46,14 +50,20 @@ def _lists(begins: np.ndarray, total: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[begins, total], pa.int32()), values)
 
 
-def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(field_id, term, posts) of (doc_id, field_id, toks, dl): a term's postings (doc_id, tf, dl) of some documents, by doc_id."""
-    for whole in _slices(batches, "toks"):
+def posting_lists(batches: Iterator[pa.RecordBatch], escaped: frozenset[int] = frozenset(), bounds: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """(field_id, term, part, posts) of (doc_id, field_id, toks, dl): a term's postings (doc_id, tf, dl) of some documents, by doc_id.
+
+    ``escaped``: fields whose terms are escaped. ``bounds``: the least terms of
+    all parts but the first; one that is there several times has its postings
+    spread over the parts that it begins.
+    """
+    for whole in _slices(batches, "dl"):
+        whole = whole.filter(pc.greater(whole.column("dl"), 0))
         for field_id in pc.unique(whole.column("field_id")).to_pylist():
             batch = whole.filter(pc.equal(whole.column("field_id"), field_id))
-            rows, codes, words = _coded(batch.column("toks"))
-            if not len(rows):
-                continue
+            rows, codes, words = _coded(pc.split_pattern(batch.column("toks"), BETWEEN))
+            if field_id in escaped:
+                words = pa.array([unescaped(w) for w in words.to_pylist()], pa.string())
             by_id = pc.sort_indices(batch.column("doc_id")).to_numpy()
             place = np.empty(len(by_id), np.int64)
             place[by_id] = np.arange(len(by_id))
@@ -66,8 +76,14 @@ def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             begins = np.flatnonzero(number % POSTINGS == 0)
             row = pa.array(by_id[row])
             posts = pa.StructArray.from_arrays([batch.column("doc_id").take(row), pa.array(tf, pa.int32()), batch.column("dl").take(row)], ["doc_id", "tf", "dl"])
-            columns = [pa.array(np.full(len(begins), field_id), pa.int32()), words.take(pa.array(code[begins])), _lists(begins, len(code), posts)]
-            yield pa.RecordBatch.from_arrays(columns, ["field_id", "term", "posts"])
+            part = np.zeros(len(begins), np.int64)
+            if bounds:
+                texts = words.to_pylist()
+                last = [bisect_right(bounds, w) for w in texts]
+                spread = [k - bisect_left(bounds, w, 0, k) if k and bounds[k - 1] == w else 1 for w, k in zip(texts, last)]
+                part = np.array(last)[code[begins]] - np.arange(len(begins)) % np.array(spread)[code[begins]]
+            columns = [pa.array(np.full(len(begins), field_id), pa.int32()), words.take(pa.array(code[begins])), pa.array(part, pa.int32()), _lists(begins, len(code), posts)]
+            yield pa.RecordBatch.from_arrays(columns, ["field_id", "term", "part", "posts"])
 
 
 def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import UnsupportedFilterPredicate
+from quillon.functions.analysis import BETWEEN, AnalyzerSpec, escaped
 from quillon.functions.scoring import FLOAT_EPSILON, Scorer, saturate
 from quillon.plans.filters import NO_FILTER, Slots, fields_of
 from quillon.plans.program import And, ConstantScore, ExecutionPlan, ExternalFilter, Filter, Not, Or, Phrase, Term
@@ -25,19 +26,23 @@ class Compiled:
     leaves: DataFrame
 
 
-def _holds(toks: Column, words: tuple[str, ...], slop: int) -> Column:
-    """Whether tokens hold a phrase: from each first word on, every next word is taken as early as it comes within the slop."""
+def _holds(joined: Column, words: tuple[str, ...], slop: int) -> Column:
+    """Whether joined tokens hold a phrase: from each first word on, every next word is taken as early as it comes within the slop."""
 
-    def from_(begin: Column) -> Column:
-        end = begin
-        for w in words[1:]:
-            # a place within the next slop + 1 tokens; null where there is none
-            ahead = F.array_position(F.slice(toks, end + 2, slop + 1), w).cast("int")
-            end = end + F.nullif(ahead, F.lit(0))
-        return F.coalesce(end - begin - (len(words) - 1) <= slop, F.lit(False))
+    def within(toks: Column) -> Column:
+        def from_(begin: Column) -> Column:
+            end = begin
+            for w in words[1:]:
+                # a place within the next slop + 1 tokens; null where there is none
+                ahead = F.array_position(F.slice(toks, end + 2, slop + 1), w).cast("int")
+                end = end + F.nullif(ahead, F.lit(0))
+            return F.coalesce(end - begin - (len(words) - 1) <= slop, F.lit(False))
 
-    begins = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i) == words[0])
-    return F.exists(F.when(F.size(toks) > 0, begins), from_)
+        begins = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i) == words[0])
+        return F.exists(begins, from_)
+
+    # a variable of a lambda, so that a text is split once and not for every token
+    return F.exists(F.array(F.split(joined, BETWEEN)), within)
 
 
 class Compiler:
@@ -116,7 +121,12 @@ class Compiler:
             score = F.when(F.col("term") == w, one).otherwise(score)
         found = index.postings.where((F.col("field_id") == field_id) & F.col("term").isin(list(distinct)))
         both = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s")).where(F.col("n") == len(distinct))
-        toks = index.tokens.where(F.col("field_id") == field_id).select("doc_id", "toks").join(both, "doc_id")
+        # as they are in joined tokens, which are split only where all of them are
+        spec = index.analyzers.get(field_id) or AnalyzerSpec()
+        words, all_in = tuple(escaped(w, spec) for w in words), F.lit(True)
+        for w in dict.fromkeys(words):
+            all_in = all_in & F.concat(F.lit(BETWEEN), F.col("toks"), F.lit(BETWEEN)).contains(BETWEEN + w + BETWEEN)
+        toks = index.tokens.where((F.col("field_id") == field_id) & all_in).select("doc_id", "toks").join(both, "doc_id")
         return toks.where(_holds(F.col("toks"), words, slop)).select("doc_id", "s")
 
     # -- expressions over one document --

@@ -6,16 +6,21 @@ field_stats(field_id, doc_count, total_terms). A stored index keeps postings
 partitioned by field and sorted by term within files, so a query's terms are
 found by row-group statistics. Lengths ride with the postings: a leaf is
 scored without a join. tokens(doc_id, field_id, toks, dl) is what analysis
-gave: it is written first, lengths and postings are derived from it, and
-phrases are looked for in it.
+gave, the terms in one string: it is written first, lengths and postings are
+derived from it, and phrases are looked for in it. Postings are counted where
+documents are read, and lists of some of a term's postings are shuffled once
+to the file that they belong to.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
+from itertools import accumulate
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.errors import DuplicateDocument, MissingAnalyzer, ValueOutOfRange
-from quillon.functions.analysis import AnalyzerSpec, FieldAnalyzers, NormalizerSpec, terms
+from quillon.errors import DuplicateDocument, MissingAnalyzer
+from quillon.functions.analysis import BETWEEN, MAX_FIELDS, AnalyzerSpec, FieldAnalyzers, NormalizerSpec, joined_terms
+from quillon.functions.grouping import posting_lists
 from quillon.storage import stored
 
 BLOCK_SIZE = 2
-INT_MAX = (1 << 31) - 1
+#: Tokens to a file of postings: at least, while there are fewer files than shuffle partitions, and at most. Tokens that are sampled for the files' bounds.
+FEW, MANY, SAMPLED = 100_000, 2_000_000, 300_000
 
 
 class DocumentIndexBuilder(Protocol):
@@ -64,7 +71,7 @@ class Index:
     block_size: int = BLOCK_SIZE
     stored_terms: DataFrame | None = None
     known: dict | None = None
-    #: (doc_id, field_id, toks, dl): the analysed terms in order.
+    #: (doc_id, field_id, toks, dl): the analysed terms in order, joined.
     tokens: DataFrame | None = None
 
     # -- statistics, small enough for the driver: one row a field --
@@ -151,53 +158,85 @@ class Index:
     def save(self, path: str) -> Index:
         """Write the tables and statistics, and open what was written."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        postings = self.postings
         if self.tokens is not None:
             # analysis costs most: it runs once
             self.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
             analysed = self.spark.read.schema(self.tokens.schema).parquet(f"{path}/tokens")
             analysed.select("doc_id", "field_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_lengths")
-            postings = stored(postings_of(analysed), "postings")
         else:
             self.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
-        ordered = postings.repartitionByRange("field_id", "term", "doc_id").sortWithinPartitions("field_id", "term", "doc_id")
-        ordered.write.mode("overwrite").partitionBy("field_id").parquet(f"{path}/postings")
+        lengths = self.spark.read.parquet(f"{path}/doc_lengths").groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("t"))
+        fields = {r["field_id"]: [r["n"], r["t"]] for r in sorted(lengths.collect())}
+        # a field at a time, as a write by field would sort the postings themselves; none of those that were there before stays
+        none = self.spark.range(0).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in self.postings.schema])
+        none.write.mode("overwrite").partitionBy("field_id").parquet(f"{path}/postings")
+        for f, (_, total) in fields.items():
+            if self.tokens is not None:
+                own = analysed.where(F.col("field_id") == f)
+                bounds = self._bounds(own, total)
+                lists = lists_of(own, self.escaped, bounds).repartitionById(len(bounds) + 1, F.col("part"))
+                ordered = postings_in(lists.sortWithinPartitions("term", F.col("posts")[0]["doc_id"]))
+            else:
+                ordered = self.postings.where(F.col("field_id") == f).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+            ordered.drop("field_id").write.mode("overwrite").parquet(f"{path}/postings/field_id={f}")
         written = _read_postings(self.spark, path, self.postings.schema)
         found = written.groupBy("field_id", "term").agg(F.count(F.lit(1)).alias("df"))
         found.repartitionByRange("field_id", "term").sortWithinPartitions("field_id", "term").write.mode("overwrite").parquet(f"{path}/terms")
-        lengths = self.spark.read.parquet(f"{path}/doc_lengths").groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("t"))
         specs = {}
-        for f in range(1024):
+        for f in range(MAX_FIELDS):
             spec = self.analyzers.get(f)
             if spec is not None and spec.builtin:
                 specs[f] = [[n.form, n.case] for n in spec.normalizers]
         meta = {
             "documents": self.spark.read.parquet(f"{path}/docs").count(),
-            "fields": {r["field_id"]: [r["n"], r["t"]] for r in lengths.collect()},
+            "fields": fields,
             "aliases": self.aliases, "block_size": self.block_size, "analyzers": specs, "tokens": self.tokens is not None,
         }
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         return Index.open(self.spark, path, self.analyzers)
 
+    @property
+    def escaped(self) -> frozenset[int]:
+        return frozenset(f for f in range(MAX_FIELDS) if (spec := self.analyzers.get(f)) is not None and not spec.builtin)
+
+    def _bounds(self, tokens: DataFrame, total: int) -> tuple[str, ...]:
+        """The least terms of all files of a field's postings but the first, so that they are about equal; from a sample, as nothing but their sizes depends on them."""
+        n = max(min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / FEW)), math.ceil(total / MANY))
+        if n < 2:
+            return ()
+        some = tokens.sample(min(1.0, SAMPLED / total), 1) if total > SAMPLED else tokens
+        counts = sorted(lists_of(some, self.escaped).groupBy("term").agg(F.sum(F.size("posts")).alias("n")).collect())
+        ends = list(accumulate(c["n"] for c in counts))
+        return tuple(counts[bisect_right(ends, ends[-1] * i // n)]["term"] for i in range(1, n)) if ends else ()
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, analyzers: FieldAnalyzers | None = None) -> Index:
         """A stored index. Analyzers of built-in kinds are stored too; others have to be given again."""
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         if analyzers is None:
             analyzers = FieldAnalyzers({int(f): AnalyzerSpec(tuple(NormalizerSpec(*n) for n in specs)) for f, specs in meta["analyzers"].items()})
-        return cls(spark, spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/doc_lengths"), _read_postings(spark, path), analyzers, meta["aliases"], meta["block_size"], spark.read.parquet(f"{path}/terms"), meta, spark.read.parquet(f"{path}/tokens") if meta["tokens"] else None)
+        docs, lengths = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/doc_lengths")
+        schema = T.StructType([T.StructField("field_id", T.IntegerType()), T.StructField("term", T.StringType()), docs.schema["doc_id"], T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
+        tokens = spark.read.parquet(f"{path}/tokens") if meta["tokens"] else None
+        if tokens is not None and isinstance(tokens.schema["toks"].dataType, T.ArrayType):
+            tokens = tokens.withColumn("toks", F.array_join("toks", BETWEEN))  # as it was stored before
+        return cls(spark, docs, lengths, _read_postings(spark, path, schema), analyzers, meta["aliases"], meta["block_size"], spark.read.parquet(f"{path}/terms"), meta, tokens)
+
+
+def _read_postings(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/postings").select("field_id", "term", "doc_id", "tf", "dl")
 
 
-def _read_postings(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/postings").select("field_id", "term", "doc_id", "tf", "dl")
+def lists_of(tokens: DataFrame, escaped: frozenset[int] = frozenset(), bounds: tuple[str, ...] = ()) -> DataFrame:
+    """(field_id, term, part, posts) of (doc_id, field_id, toks, dl): a term's postings of some documents."""
+    post = T.StructType([tokens.schema["doc_id"], T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
+    made = T.StructType([T.StructField("field_id", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("posts", T.ArrayType(post))])
+    return tokens.select("doc_id", "field_id", "toks", "dl").mapInArrow(partial(posting_lists, escaped=escaped, bounds=bounds), made)
 
 
-def postings_of(tokens: DataFrame) -> DataFrame:
-    """(field_id, term, doc_id, tf, dl) of (doc_id, field_id, toks, dl)."""
-    counted = tokens.select("field_id", "doc_id", "dl", F.explode("toks").alias("term")).groupBy("field_id", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("n"))
-    fits = F.when(F.col("n") <= INT_MAX, F.col("n").cast("int")).otherwise(F.raise_error(F.lit(f"{ValueOutOfRange.__name__}: term frequency")))
-    return counted.select("field_id", "term", "doc_id", fits.cast("int").alias("tf"), "dl")
+def postings_in(lists: DataFrame) -> DataFrame:
+    """(field_id, term, doc_id, tf, dl)"""
+    return lists.select("field_id", "term", F.inline("posts"))
 
 
 class IndexBuilder:
@@ -234,14 +273,18 @@ class IndexBuilder:
             text, spec = df[name], self.analyzers.get(f)
             if isinstance(df.schema[name].dataType, T.ArrayType):
                 each = df.select(df[id_col].alias("doc_id"), F.posexplode(text).alias("i", "t"))
-                one = each.where("t is not null").select("doc_id", terms(F.col("t"), spec).alias("toks"))
-                one = one.groupBy("doc_id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
+                one = each.where("t is not null").select("doc_id", joined_terms(F.col("t"), spec).alias("x"))
+                one = one.groupBy("doc_id").agg(F.collect_list("x").alias("all"))
+                toks = F.array_join(F.transform(F.filter("all", lambda x: x["dl"] > 0), lambda x: x["toks"]), BETWEEN)
+                one = one.select("doc_id", F.struct(toks.alias("toks"), F.aggregate("all", F.lit(0), lambda a, x: a + x["dl"]).alias("dl")).alias("x"))
             else:
-                one = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), terms(text, spec).alias("toks"))
-            parts.append(one.select("doc_id", F.lit(f).alias("field_id"), "toks", F.size("toks").alias("dl")))
-        empty = df.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("field_id", T.IntegerType()), T.StructField("toks", T.ArrayType(T.StringType())), T.StructField("dl", T.IntegerType())]))
+                one = df.where(text.isNotNull()).select(df[id_col].alias("doc_id"), joined_terms(text, spec).alias("x"))
+            parts.append(one.select("doc_id", F.lit(f).alias("field_id"), "x.toks", "x.dl"))
+        empty = df.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("field_id", T.IntegerType()), T.StructField("toks", T.StringType()), T.StructField("dl", T.IntegerType())]))
         rows = parts[0] if parts else empty
         for p in parts[1:]:
             rows = rows.unionByName(p)
         lengths = rows.select("doc_id", "field_id", "dl")
-        return Index(df.sparkSession, docs, lengths, postings_of(rows), self.analyzers, dict(self.aliases), self.block_size, tokens=rows)
+        made = Index(df.sparkSession, docs, lengths, None, self.analyzers, dict(self.aliases), self.block_size, tokens=rows)
+        made.postings = postings_in(lists_of(rows, made.escaped))
+        return made

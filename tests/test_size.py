@@ -1,13 +1,18 @@
 """Steps that larger tables were too much for: what they shuffle, and that their results hold on odd rows."""
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillon.engine import Engine
 from quillon.functions import grouping
-from quillon.functions.analysis import AnalyzerSpec, WhitespaceTokenizer, terms
+from quillon.functions.analysis import AnalyzerSpec, FieldAnalyzers, Token, WhitespaceTokenizer, terms
 from quillon.operators import postings
+from quillon.plans import ast
+from quillon.sources import index as module
+from quillon.sources.index import IndexBuilder
 
 
 def plan(df):
@@ -38,3 +43,50 @@ def test_texts_are_normalised_at_once(spark):
     made = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(terms(F.col("t"), spec).alias("x"))
     want = [[spec.normalize(t.text) for t in WhitespaceTokenizer().tokenize(text)] for text in texts]
     assert [r["x"] for r in made.collect()] == [*want, None]
+
+
+def test_an_index_is_built_of_lists(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["a", "A", "b", "é", f"x{rng.randrange(99)}"]) for _ in range(rng.choice((0, 1, 5, 40))))) for i in range(400)]
+    want = {(w, i, t.lower().split().count(w), len(t.split())) for i, t in rows for w in set(t.lower().split())}
+    index = IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"})
+    assert not {"Aggregate", "Repartition"} & set(plan(index.postings).replace("(", " ").split())
+    for name, n in (("FEW", 20), ("SAMPLED", 1500)):
+        monkeypatch.setattr(module, name, n)
+    monkeypatch.setattr(spark.conf, "get", lambda name, *rest, own=spark.conf.get: "9" if name == "spark.sql.shuffle.partitions" else own(name, *rest))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/lists"
+    stale = IndexBuilder(FieldAnalyzers({2: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {2: "t"})
+    stale.save(path)
+    saved = index.save(path)  # over another index, of which nothing may stay
+    assert [(r["term"], r["doc_id"], r["tf"], r["dl"]) for r in saved.postings.collect() if r["field_id"] != 1] == []
+    assert sorted((r["term"], r["doc_id"], r["tf"], r["dl"]) for r in saved.postings.collect()) == sorted(want)
+    assert {(r["term"], r["df"]) for r in saved.terms.collect()} == set(Counter(w[0] for w in want).items())
+    files = saved.postings.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) > 5 and max(r["n"] for r in files) < len(want) / 2
+
+
+def test_a_term_over_several_files():
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3000), "field_id": [1] * 3000, "toks": ["a\nm\nz"] * 3000, "dl": [3] * 3000}, pa.schema({"doc_id": pa.int64(), "field_id": pa.int32(), "toks": pa.string(), "dl": pa.int32()}))
+    parts = {}
+    for b in grouping.posting_lists(iter([batch]), bounds=("b", "m", "m", "m", "x")):
+        for r in b.to_pylist():
+            parts.setdefault(r["term"], set()).add(r["part"])
+            assert len(r["posts"]) <= grouping.POSTINGS
+    assert parts == {"a": {0}, "m": {2, 3, 4}, "z": {5}}
+
+
+def test_terms_with_breaks_and_repeated_fields(spark):
+    class Commas:  # in here, so that workers get it by value
+        def tokenize(self, text, position=0):
+            return [Token(t, i, 0, 0) for i, t in enumerate(text.split(","))]
+
+    spec = AnalyzerSpec((), Commas())
+    rows = [(1, "a\nb,\\n,a,"), (2, ""), (3, "\\,b\n\\")]
+    index = IndexBuilder(FieldAnalyzers({1: spec})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"})
+    assert sorted((r["term"], r["doc_id"]) for r in index.postings.collect()) == sorted((w, i) for i, t in rows for w in set(t.split(",")))
+    engine = Engine(index)
+    assert [r["doc_id"] for r in engine.hits(engine.plan(ast.phrase(["a\nb", "\\n"]))).collect()] == [1]
+    parts = spark.createDataFrame([(1, ["a", "", "b a"]), (2, [""]), (3, [None])], "doc_id long, t array<string>")
+    index = IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(parts, "doc_id", {1: "t"})
+    assert {(r["term"], r["doc_id"], r["tf"], r["dl"]) for r in index.postings.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3)}
+    assert {(r["doc_id"], r["dl"]) for r in index.doc_lengths.collect()} == {(1, 3), (2, 0)}

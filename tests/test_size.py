@@ -90,3 +90,10 @@ def test_terms_with_breaks_and_repeated_fields(spark):
     index = IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(parts, "doc_id", {1: "t"})
     assert {(r["term"], r["doc_id"], r["tf"], r["dl"]) for r in index.postings.collect()} == {("a", 1, 2, 3), ("b", 1, 1, 3)}
     assert {(r["doc_id"], r["dl"]) for r in index.doc_lengths.collect()} == {(1, 3), (2, 0)}
+
+
+def test_texts_without_all_words_are_not_split(spark):
+    rows = [(1, "in x the"), (2, "the in"), (3, "inthe in"), (4, "in in x y the"), (5, "in x y z the")]
+    engine = Engine(IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"}))
+    found = engine.hits(engine.plan(ast.phrase_with_slop(["in", "the"], 2)))
+    assert {r["doc_id"] for r in found.collect()} == {1, 4} and "Contains" in plan(found)

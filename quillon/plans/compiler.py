@@ -224,9 +224,12 @@ class Compiler:
         n = len(self.leaf_of)
         grouped = leaves.groupBy("doc_id")
         if n > WIDE and not filters and self._flat_or(root):
-            # any leaf is a match, and scores are summed in the order of the leaves: no column or lookup for each
-            adds = F.transform(F.array_sort(F.collect_list(F.struct("leaf", "s"))), lambda x: x["s"])
-            s = F.aggregate(adds, F.lit(0.0).cast(self.type), lambda a, x: saturate(a + x).cast(self.type))
+            # any leaf is a match: no column or lookup for each. Doubles are finite and can't overflow as they are summed; floats are added in the order of the leaves
+            if self.type == "double":
+                s = saturate(F.sum("s"))
+            else:
+                adds = F.transform(F.array_sort(F.collect_list(F.struct("leaf", "s"))), lambda x: x["s"])
+                s = F.aggregate(adds, F.lit(0.0).cast(self.type), lambda a, x: saturate(a + x).cast(self.type))
             s = saturate(s * F.lit(root.boost).cast(self.type)) if abs(root.boost - 1) > FLOAT_EPSILON else s
             return Compiled(grouped.agg(s.alias("score")) if self.scorer else leaves.select("doc_id").distinct(), leaves)
         if n <= WIDE:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.engine import Engine
 from quillon.functions import grouping
 from quillon.functions.analysis import AnalyzerSpec, FieldAnalyzers, Token, WhitespaceTokenizer, terms
+from quillon.functions.scoring import Bm25Scorer, ScoringStats
 from quillon.operators import postings
 from quillon.plans import ast
 from quillon.sources import index as module
@@ -97,3 +98,22 @@ def test_texts_without_all_words_are_not_split(spark):
     engine = Engine(IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"}))
     found = engine.hits(engine.plan(ast.phrase_with_slop(["in", "the"], 2)))
     assert {r["doc_id"] for r in found.collect()} == {1, 4} and "Contains" in plan(found)
+
+
+def test_wide_or_sums_without_lists(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30)))) for i in range(50)]
+    index = IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"}).save(f"{spark.conf.get('spark.checkpoint.dir')}/wide")
+    build = ast.QueryBuilder()
+    build.or_([build.term(w) for w in words])
+    one, exact = Engine(index), Engine(index, precision="float")
+    hits = one.hits(one.plan(build.build()), Bm25Scorer())
+    assert "collect_list" not in plan(hits)
+    want = {}
+    for r in index.postings.collect():
+        stats = ScoringStats(r["tf"], r["dl"], index.avgdl(1), index.document_count, sum(r["term"] in t.split() for _, t in rows))
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + Bm25Scorer().value(stats)
+    for got, near in ((hits, 1e-9), (exact.hits(exact.plan(build.build()), Bm25Scorer()), 1e-5)):
+        got = {r["doc_id"]: r["score"] for r in got.collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - s) < near for d, s in want.items())

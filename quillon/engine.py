@@ -103,7 +103,7 @@ class Engine:
         index = self.index
         df = index.dictionary([(root.field_id, root.term)]).get((root.field_id, root.term), 0)
         of = lambda tf, dl: scorer.column(F.col(tf), F.col(dl), index.avgdl(root.field_id), index.document_count, df) * F.lit(float(root.boost))
-        own = index.blocked.where((F.col("field_id") == root.field_id) & (F.col("term") == root.term))
+        own = index.blocked_of(index.postings.where((F.col("field_id") == root.field_id) & (F.col("term") == root.term)))
         blocks = index.blocks_of(own).withColumn("bound", of("max_tf", "min_dl"))
         return own.withColumn("score", of("tf", "dl")), blocks
 

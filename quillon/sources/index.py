@@ -46,18 +46,19 @@ class DocumentIndexBuilder(Protocol):
     def from_dataframe(self, df: DataFrame, id_col: str, fields: dict[int, str], attributes: Sequence[str] = ()) -> Index: ...
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Rows numbered from 0 in a total order, without bringing them into one task.
+def numbered(df: DataFrame, order: Sequence[Column], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rows numbered from 0 in a total order, or ``within`` each group of these columns, without bringing them, or a group, into one task.
 
     The ordered table is stored by range with each range's number, so that
     counting the ranges and numbering within them see the same ranges.
     """
-    ranged = df.repartitionByRange(*order).withColumn("range__", F.spark_partition_id())
+    ranged = df.repartitionByRange(*within, *order).withColumn("range__", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
-    counts = ranged.groupBy("range__").agg(F.count(F.lit(1)).alias("n__"))
-    before = counts.select("range__", (F.sum("n__").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n__")).alias("before__"))
-    rank = F.row_number().over(Window.partitionBy("range__").orderBy(*order)) - 1 + F.col("before__")
-    return ranged.join(before, "range__").withColumn(name, rank.cast("long")).drop("range__", "before__")
+    counts = ranged.groupBy("range__", *within).agg(F.count(F.lit(1)).alias("n__"))
+    earlier = Window.partitionBy(*within).orderBy("range__").rowsBetween(Window.unboundedPreceding, 0)
+    before = counts.select("range__", *within, (F.sum("n__").over(earlier) - F.col("n__")).alias("before__"))
+    rank = F.row_number().over(Window.partitionBy("range__", *within).orderBy(*order)) - 1 + F.col("before__")
+    return ranged.join(before, ["range__", *within]).withColumn(name, rank.cast("long")).drop("range__", "before__")
 
 
 @dataclass
@@ -133,8 +134,11 @@ class Index:
     @cached_property
     def blocked(self) -> DataFrame:
         """Postings with the number of their block: every ``block_size`` postings of a term by doc_id."""
-        by = Window.partitionBy("field_id", "term").orderBy("doc_id")
-        return self.postings.withColumn("block_no", F.floor((F.row_number().over(by) - 1) / max(1, self.block_size)).cast("long"))
+        return self.blocked_of(self.postings)
+
+    def blocked_of(self, postings: DataFrame) -> DataFrame:
+        made = numbered(postings, [F.col("doc_id")], "block_no", ["field_id", "term"])
+        return made.withColumn("block_no", F.floor(F.col("block_no") / max(1, self.block_size)).cast("long"))
 
     @staticmethod
     def blocks_of(blocked: DataFrame) -> DataFrame:

@@ -117,3 +117,15 @@ def test_wide_or_sums_without_lists(spark):
     for got, near in ((hits, 1e-9), (exact.hits(exact.plan(build.build()), Bm25Scorer()), 1e-5)):
         got = {r["doc_id"]: r["score"] for r in got.collect()}
         assert got.keys() == want.keys() and all(abs(got[d] - s) < near for d, s in want.items())
+
+
+def test_blocks_of_a_term_are_numbered_by_range(spark):
+    rows = [(i * 7 % 500, "a " * (i % 5 + 1) + "b") for i in range(500)]
+    index = IndexBuilder(FieldAnalyzers({1: AnalyzerSpec.default()})).from_dataframe(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", {1: "t"}).save(f"{spark.conf.get('spark.checkpoint.dir')}/blocks")
+    own = index.blocked_of(index.postings.where("term = 'a'"))
+    assert "range__" in plan(own)  # a term's rows are in as many tasks as it has ranges
+    assert {(r["doc_id"], r["block_no"]) for r in own.collect()} == {(i, i // 2) for i in range(500)}
+    engine = Engine(index)
+    root = engine.plan("a").program.nodes[-1]
+    got = [(r["doc_id"], r["score"]) for r in engine.block_max(root, 10).collect()]
+    assert got == [(r["doc_id"], r["score"]) for r in engine.search("a", 10).collect()]
